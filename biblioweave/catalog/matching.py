@@ -395,7 +395,7 @@ s AS (SELECT b.item_id, b.doc_id, b.rnk,
              CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS blocking,
              CASE WHEN d.lang = 'en' THEN 1.0 ELSE 0.0 END AS same_year
       FROM b JOIN documents d USING (doc_id)),
-m AS (SELECT *, round((blocking + same_year) / 2, 5) AS matching_score,
+m AS (SELECT *, round((blocking + same_year) / 2, 6) AS matching_score,
              (blocking + same_year) / 2 AS exact_score FROM s),
 best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id
          ORDER BY round(exact_score, 6) DESC, rnk) AS mr FROM m))
@@ -418,7 +418,7 @@ def _ranked(t: Tables):
 def pairwise_rank(t: Tables):
     return _ranked(t).select(
         F.col("req_id").alias("item_id"), "doc_id", "match_rank",
-        F.round("matching_score", 5).alias("matching_score"),
+        "matching_score",
     )
 
 

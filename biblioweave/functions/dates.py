@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from biblioweave.functions.text import not_blank
-
 PARTIAL_DATE = "struct<year:int,month:int,day:int>"
 
 # English month abbreviations in calendar order.
@@ -98,15 +96,9 @@ def parse_partial_date(c: Column, day_first: bool = False) -> Column:
 
 def partial_to_date(c: Column) -> Column:
     """Full date with missing month and day set to one."""
-    return F.when(
-        c["year"].isNotNull(),
-        F.try_make_date(
-            c["year"], F.coalesce(c["month"], F.lit(1)), F.coalesce(c["day"], F.lit(1))
-        ),
-    ) if hasattr(F, "try_make_date") else F.when(
-        c["year"].isNotNull(),
-        F.make_date(c["year"], F.coalesce(c["month"], F.lit(1)), F.coalesce(c["day"], F.lit(1))),
-    )
+    month, day = F.coalesce(c["month"], F.lit(1)), F.coalesce(c["day"], F.lit(1))
+    text = F.concat_ws("-", F.lpad(c["year"].cast("string"), 4, "0"), _pad2(month), _pad2(day))
+    return F.when(c["year"].isNotNull(), text.try_cast("date"))
 
 
 def _size(c: Column) -> Column:
@@ -133,23 +125,21 @@ def oldest_date(printed: Column, electronic: Column) -> Column:
     )
 
 
+def _year_at(json: Column, path: str) -> Column:
+    nested = F.get_json_object(json, f"{path}[0][0]")
+    flat = F.get_json_object(json, f"{path}[0]")
+    year = F.coalesce(nested, F.when(~flat.startswith("["), flat))
+    return F.when(year.rlike(r"\S") & (year != "null"), year)
+
+
 def year_of_date_parts(date_json: Column) -> Column:
     """First date part of a JSON date object with nested or flat parts."""
-    nested = F.get_json_object(date_json, "$['date-parts'][0][0]")
-    flat = F.get_json_object(date_json, "$['date-parts'][0]")
-    year = F.coalesce(nested, F.when(~flat.startswith("["), flat))
-    return F.when(not_blank(year), year)
+    return _year_at(date_json, "$['date-parts']")
 
 
 def publication_year(record_json: Column) -> Column:
     """Year of the first usable date of a work record."""
-    candidates = []
-    for name in YEAR_SOURCES:
-        nested = F.get_json_object(record_json, f"$['{name}']['date-parts'][0][0]")
-        flat = F.get_json_object(record_json, f"$['{name}']['date-parts'][0]")
-        year = F.coalesce(nested, F.when(~flat.startswith("["), flat))
-        candidates.append(F.when(not_blank(year), year))
-    return F.coalesce(*candidates)
+    return F.coalesce(*[_year_at(record_json, f"$['{n}']['date-parts']") for n in YEAR_SOURCES])
 
 
 def indexed_timestamp(record_json: Column) -> Column:

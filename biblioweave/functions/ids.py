@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from biblioweave.functions.text import not_blank
+from biblioweave.functions.text import bind, not_blank
 
 # Fixed value: a DOI inside JSON text.
 DOI_IN_JSON = r'"DOI"\s?:\s?"(10\.\d{4,5}/[^"\s]+[^;,.\s])"'
@@ -51,17 +51,17 @@ def clean_pubmed_id(pmid: Column, doi: Column | None = None, pmc: Column | None
     ).otherwise(value)
     value = F.regexp_replace(value, r"^https?://www\.ncbi\.nlm\.nih\.gov/pmc/articles/(?=pmc)", "")
     value = F.when(value.endswith("/"), F.replace(value, F.lit("/"), F.lit(""))).otherwise(value)
-    as_doi = value.rlike(r"^(doi\.org/)?10\..*/") & doi.isNull()
-    as_pmc = ~as_doi & value.rlike("^(PMC|pmc)") & pmc.isNull()
-    plain = F.trim(
-        F.when(value.endswith("DOI"), F.replace(value, F.lit("DOI"), F.lit(""))).otherwise(value)
-    )
+    return bind(value, lambda v: _routed(v, doi, pmc))
+
+
+def _routed(value: Column, doi: Column, pmc: Column) -> Column:
+    as_doi = F.coalesce(value.rlike(r"^(doi\.org/)?10\..*/"), F.lit(False)) & doi.isNull()
+    as_pmc = ~as_doi & F.coalesce(value.rlike("^(PMC|pmc)"), F.lit(False)) & pmc.isNull()
+    plain = F.when(value.endswith("DOI"), F.replace(value, F.lit("DOI"), F.lit(""))).otherwise(value)
     return F.struct(
-        F.when(~F.coalesce(as_doi | as_pmc, F.lit(False)), plain).alias("pmid"),
-        F.when(
-            F.coalesce(as_doi, F.lit(False)), F.trim(F.regexp_replace(value, r"^doi\.org/", ""))
-        ).otherwise(doi).alias("doi"),
-        F.when(F.coalesce(as_pmc, F.lit(False)), value).otherwise(pmc).alias("pmc"),
+        F.when(~as_doi & ~as_pmc, F.trim(plain)).alias("pmid"),
+        F.when(as_doi, F.trim(F.regexp_replace(value, r"^doi\.org/", ""))).otherwise(doi).alias("doi"),
+        F.when(as_pmc, value).otherwise(pmc).alias("pmc"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from biblioweave.functions.text import not_blank
+from biblioweave.functions.text import bind, not_blank
 
 # Words that are not part of a page number, in order of removal.
 PAGE_NOISE = (
@@ -34,26 +34,33 @@ def expand_page_range(c: Column) -> Column:
     text = F.when(~c.isin(*UNKNOWN_PAGES), c)
     for noise in PAGE_NOISE:
         text = F.replace(text, F.lit(noise), F.lit(""))
-    text = F.trim(text)
-    comma = F.instr(text, "-") == 0
-    mark = F.when(comma, F.instr(text, ",")).otherwise(F.instr(text, "-"))
-    start = F.when(mark > 0, text.substr(F.lit(1), mark - 1)).otherwise(text)
-    tail = F.when(mark > 0, text.substr(mark + 1, F.length(text))).otherwise(text)
+    return bind(F.trim(text), lambda t: F.when(F.length(t) > 0, bind(_ends(t), lambda e: _pages(t, e))))
+
+
+def _ends(text: Column) -> Column:
+    """First and last page as written; no separator means one page."""
+    mark = F.when(F.instr(text, "-") > 0, F.instr(text, "-")).otherwise(F.instr(text, ","))
+    split = F.when(mark > 0, mark).otherwise(F.length(text) + 1)
+    return F.struct(
+        text.substr(F.lit(1), split - 1).alias("first"),
+        F.when(mark > 0, text.substr(mark + 1, F.length(text))).otherwise(text).alias("last"),
+    )
+
+
+def _pages(text: Column, ends: Column) -> Column:
+    start, tail = ends["first"], ends["last"]
     missing = F.length(start) - F.length(tail)
     end = F.when(missing > 0, F.concat(start.substr(F.lit(1), missing), tail)).otherwise(tail)
-    digits = F.regexp_extract(text, r"(\d+)", 1)
     start_int, end_int = start.try_cast("int"), end.try_cast("int")
+    digits = F.regexp_extract(text, r"(\d+)", 1)
     shown = F.when(start_int.isNull() & (F.length(start) > 0) & (digits != ""), digits).otherwise(start)
     odd = ((F.length(start) > 0) & start_int.isNull()) | ((F.length(end) > 0) & end_int.isNull())
-    return F.when(
-        F.length(text) > 0,
-        F.struct(
-            F.when(F.length(shown) > 0, shown).alias("start"),
-            F.when(F.length(end) > 0, end).alias("end"),
-            shown.try_cast("int").alias("start_int"),
-            end_int.alias("end_int"),
-            F.when(F.coalesce(odd, F.lit(False)), text).alias("raw"),
-        ),
+    return F.struct(
+        F.when(F.length(shown) > 0, shown).alias("start"),
+        F.when(F.length(end) > 0, end).alias("end"),
+        shown.try_cast("int").alias("start_int"),
+        end_int.alias("end_int"),
+        F.when(F.coalesce(odd, F.lit(False)), text).alias("raw"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,6 +43,11 @@ _SINGLE_FOLDS = {k: v for k, v in LETTER_FOLDS.items() if len(v) == 1}
 _LONG_FOLDS = {k: v for k, v in LETTER_FOLDS.items() if len(v) > 1}
 
 
+def bind(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is evaluated once, for expressions using it often."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def is_blank(c: Column) -> Column:
     """True for null, empty or whitespace-only text."""
     return ~F.coalesce(c.rlike(r"\S"), F.lit(False))
