@@ -111,7 +111,7 @@ def map_istex_to_pubmed(t: Tables):
     count(existing) AS present_kept, count(*) FILTER (WHERE existing IS NOT NULL AND mapped IS NULL)
         AS present_not_mapped,
     count(coalesce(existing, mapped)) AS ids_with_mesh, count(coalesce(existing, mapped)) AS mesh_classes,
-    count(*) FILTER (WHERE existing <> mapped) AS conflicts, 1.0 AS mean_classes FROM m""",
+    count(*) FILTER (WHERE existing <> mapped) AS conflicts, CAST(1 AS DOUBLE) AS mean_classes FROM m""",
 )
 def istex_mapping_stats(t: Tables):
     return R.istex_mapping_stats(R.map_istex(*_mapping_inputs(t)))
