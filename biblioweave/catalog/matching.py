@@ -11,7 +11,7 @@ from biblioweave.operators.audit import (
     audit_duplicates, audit_missing_doi, audit_summary, candidate_fields,
 )
 from biblioweave.plans.matching import Store, resolve_requests
-from biblioweave.session import materialise
+from biblioweave.session import materialise, spread
 
 STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
 FOLD = "strip_accents(replace(replace(replace(lower({0}), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))"
@@ -51,7 +51,7 @@ top AS (
 
 
 def doc_index(t: Tables) -> S.Index:
-    return S.build_index(t.documents, TEXT, id="doc_id")
+    return S.build_index(spread(t.documents.select("doc_id", "text"), "doc_id"), TEXT, id="doc_id")
 
 
 def passages(t: Tables):

@@ -112,13 +112,18 @@ def clean_field(c: Column) -> Column:
     return F.when(F.length(c) > 0, text)
 
 
-def fold_ascii(c: Column) -> Column:
-    """Replace accented and special Latin letters by ASCII letters."""
-    singles = _ACCENTED + "".join(_SINGLE_FOLDS)
-    plains = _PLAIN + "".join(_SINGLE_FOLDS.values())
-    folded = F.translate(c, singles, plains)
+def fold_ascii(c: Column, *, lowered: bool = False) -> Column:
+    """Replace accented and special Latin letters by ASCII letters.
+
+    ``lowered`` text has no capitals left, so fewer letters are looked for.
+    """
+    wanted = lambda letter: not lowered or letter == letter.lower()
+    pairs = [*zip(_ACCENTED, _PLAIN), *_SINGLE_FOLDS.items()]
+    pairs = [(letter, plain) for letter, plain in pairs if wanted(letter)]
+    folded = F.translate(c, "".join(a for a, _ in pairs), "".join(b for _, b in pairs))
     for letter, letters in _LONG_FOLDS.items():
-        folded = F.replace(folded, F.lit(letter), F.lit(letters))
+        if wanted(letter):
+            folded = F.replace(folded, F.lit(letter), F.lit(letters))
     return folded
 
 
@@ -139,11 +144,11 @@ def analyze(c: Column, analyzer: str) -> Column:
     if analyzer == "keyword":
         tokens = F.array(lowered)
     elif analyzer == "keyword_fold":
-        tokens = F.array(fold_ascii(lowered))
+        tokens = F.array(fold_ascii(lowered, lowered=True))
     elif analyzer == "words":
-        tokens = words(fold_ascii(lowered))
+        tokens = words(fold_ascii(lowered, lowered=True))
     elif analyzer == "words_stop":
-        tokens = F.filter(words(fold_ascii(lowered)), lambda t: ~t.isin(*ENGLISH_STOP_WORDS))
+        tokens = F.filter(words(fold_ascii(lowered, lowered=True)), lambda t: ~t.isin(*ENGLISH_STOP_WORDS))
     else:
         raise ValueError(f"unknown analyzer {analyzer!r}")
     return F.when(not_blank(c), tokens)

@@ -20,7 +20,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from biblioweave.functions.text import analyze, fold_ascii, not_blank
+from biblioweave.functions.text import analyze, bind, fold_ascii, not_blank
 from biblioweave.session import materialise
 
 K1, B = 1.2, 0.75
@@ -54,8 +54,8 @@ FIELD_ANALYZERS = {
 class Index:
     """Search tables.
 
-    ``postings``     field, token, id, tf, doc_len, position of the token's
-                     first occurrence, and carried record columns
+    ``postings``     field, token, id, tf, doc_len, place among the record's
+                     distinct tokens, and carried record columns
     ``token_stats``  field, token, df, idf, bound (largest score share), salts
     ``field_stats``  field, n_docs, avg_len, n_postings: one row per field
     """
@@ -69,11 +69,34 @@ class Index:
         return replace(self, postings=self.postings.filter(condition))
 
 
-def field_tokens(
+def _runs(tokens: Column) -> Column:
+    """Distinct tokens of a sorted array with their counts, in order."""
+    size = F.size(tokens)
+    first = lambda i: (i == 0) | (F.get(tokens, i) != F.get(tokens, i - 1))
+    starts = F.filter(F.sequence(F.lit(0), size - 1), first)
+    counted = bind(
+        starts,
+        lambda s: F.transform(
+            s,
+            lambda start, k: F.struct(
+                F.get(tokens, start).alias("token"),
+                (F.coalesce(F.get(s, k + 1), size) - start).alias("tf"),
+            ),
+        ),
+    )
+    return F.when(size > 0, counted)
+
+
+def build_postings(
     records: DataFrame, fields: dict[str, tuple[str, str]], *, id: str = "id",
     carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per token occurrence of the given ``field: (column, analyzer)``."""
+    """Token table of the given ``field: (column, analyzer)`` of each record.
+
+    One row per record, field and distinct token with its term frequency, the
+    field length and the token's place among the distinct ones.  A record's
+    tokens are counted within its row, so nothing is shuffled.
+    """
     parts = []
     for field, (column, analyzer) in fields.items():
         value = F.col(column)
@@ -81,35 +104,19 @@ def field_tokens(
             tokens = F.flatten(F.transform(value, lambda v: analyze(v, analyzer)))
         else:
             tokens = analyze(value, analyzer)
-        parts.append(
-            F.struct(F.lit(field).alias("field"), tokens.alias("tokens"))
-        )
+        parts.append(F.struct(F.lit(field).alias("field"), F.sort_array(tokens).alias("tokens")))
+    # the generator keeps the token arrays as columns that are computed once
     rows = records.select(F.col(id).alias("id"), *carry, F.explode(F.array(*parts)).alias("f"))
-    return rows.select(
+    tokens = rows.select(
         "id", *carry, F.col("f.field").alias("field"), F.size("f.tokens").alias("doc_len"),
-        F.posexplode("f.tokens").alias("pos", "token"),
-    )
-
-
-def build_postings(
-    records: DataFrame, fields: dict[str, tuple[str, str]], *, id: str = "id",
-    carry: tuple[str, ...] = (),
-) -> DataFrame:
-    """Token table with term frequency and field length per record."""
-    return (
-        field_tokens(records, fields, id=id, carry=carry)
-        .groupBy("field", "token", "id", *carry)
-        .agg(
-            F.count(F.lit(1)).alias("tf"),
-            F.first("doc_len").alias("doc_len"),
-            F.min("pos").alias("first_pos"),
-        )
+        F.posexplode(_runs(F.col("f.tokens"))).alias("place", "t"),
     )
+    return tokens.select("field", "t.token", "id", *carry, "t.tf", "doc_len", "place")
 
 
 def build_field_stats(postings: DataFrame) -> DataFrame:
-    """Records and mean length per field; each record has one token at position 0."""
-    start = F.col("first_pos") == 0
+    """Records and mean length per field; each record has one token at place 0."""
+    start = F.col("place") == 0
     return postings.groupBy("field").agg(
         F.count_if(start).alias("n_docs"),
         (F.sum(F.when(start, F.col("doc_len"))) / F.count_if(start)).alias("avg_len"),
@@ -173,10 +180,9 @@ def request_tokens(
     repeats: bool = False, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Distinct tokens per request and field; ``repeats`` counts occurrences."""
-    tokens = field_tokens(requests, fields, id=req_id, carry=carry)
-    grouped = tokens.groupBy("id", "field", "token", *carry).agg(F.count(F.lit(1)).alias("qtf"))
-    weight = F.col("qtf") if repeats else F.lit(1)
-    return grouped.select(F.col("id").alias("req_id"), "field", "token", weight.alias("weight"), *carry)
+    tokens = build_postings(requests, fields, id=req_id, carry=carry)
+    weight = F.col("tf") if repeats else F.lit(1)
+    return tokens.select(F.col("id").alias("req_id"), "field", "token", weight.alias("weight"), *carry)
 
 
 def weighted_terms(tokens: DataFrame, index: Index) -> DataFrame:
@@ -310,11 +316,11 @@ def top_candidates(
     """The k best records per request: ``req_id, id, raw_score, blocking_rank``.
 
     ``pruned`` suits batches of long or many requests against a large index;
-    single small batches are faster with the plain join.
+    single small batches are faster with the plain join.  The weighted terms
+    are stored so that their size is known when the joins are planned.
     """
-    terms = weighted_terms(tokens, index)
+    terms = materialise(weighted_terms(tokens, index), "request-terms")
     if pruned:
-        terms = materialise(terms, "request-terms")
         return best_k(_pruned_scores(terms, index, k, exclude, seed_df, budget), k)
     return best_k(bm25(terms, index, exclude=exclude), k)
 

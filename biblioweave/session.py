@@ -69,3 +69,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame, *key: str) -> DataFrame:
+    """A file scan with at least one partition per core.
+
+    Small tables come in fewer splits than there are cores and are hashed by
+    ``key``; large ones have more splits and stay as they are.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores, *key) if scan.rdd.getNumPartitions() < cores else scan
