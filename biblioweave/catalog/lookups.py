@@ -372,7 +372,7 @@ def resolve(t: Tables):
     store = Store(
         works=works, hal_works=T.hal_works(t), pmid_maps=maps, istex_maps=archive,
         oa_links=K.build_oa_links(T.oa_locations(t)), doi_hal=T.doi_hal(t),
-        records=records, index=X.build_index(records),
+        records=records, index=X.build_index(records, carry=("volume", "first_page")),
     )
     return resolve_requests(id_requests(t), store).select("req_id", "route", "status", "doi")
 

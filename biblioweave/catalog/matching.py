@@ -50,8 +50,9 @@ top AS (
 """
 
 
-def doc_index(t: Tables) -> S.Index:
-    return S.build_index(spread(t.documents.select("doc_id", "text"), "doc_id"), TEXT, id="doc_id")
+def doc_index(t: Tables, **options) -> S.Index:
+    records = spread(t.documents.select("doc_id", "text"), "doc_id")
+    return S.build_index(records, TEXT, id="doc_id", **options)
 
 
 def passages(t: Tables):
@@ -64,7 +65,10 @@ def passages(t: Tables):
 )
 def build_postings(t: Tables):
     rows = S.build_postings(t.documents, TEXT, id="doc_id")
-    return rows.select("token", F.col("id").alias("doc_id"), "tf", F.col("doc_len").cast("long").alias("doc_len"))
+    return rows.select(
+        "token", F.col("id").alias("doc_id"), F.col("tf").cast("long").alias("tf"),
+        F.col("doc_len").cast("long").alias("doc_len"),
+    )
 
 
 @query(
@@ -79,7 +83,7 @@ def token_stats(t: Tables):
 
 @query("X6_bm25", f"WITH {DOC_SCORES_SQL} SELECT item_id, doc_id, score FROM score")
 def bm25(t: Tables):
-    index = doc_index(t)
+    index = doc_index(t, collapse=False)
     terms = S.weighted_terms(S.request_tokens(passages(t), S.BIBLIO_FIELD), index)
     return S.bm25(terms, index).select(
         F.col("req_id").alias("item_id"), F.col("id").alias("doc_id"),
@@ -191,7 +195,7 @@ def evaluate_matching(t: Tables):
     A document that contains a passage has every inner word of it, so the
     rarest inner word leads to all documents to check.
     """
-    index = doc_index(t)
+    index = doc_index(t, collapse=False)
     tokens = S.request_tokens(passages(t), S.BIBLIO_FIELD)
     inner = S.weighted_terms(tokens, index).join(inner_tokens(t), ["req_id", "token"])
     rarest = inner.groupBy("req_id").agg(
@@ -287,7 +291,7 @@ def page_store(t: Tables) -> Store:
         oa_links=links,
         doi_hal=records.filter(F.col("doi").isNotNull()).select("doi", "hal_id"),
         records=records,
-        index=S.build_index(records),
+        index=S.build_index(records, carry=("volume", "first_page")),
     )
 
 
@@ -367,8 +371,10 @@ def match_journal(t: Tables):
         "first_page", "first_author",
     )
     names = ("journal", "abbreviated_journal", "volume", "first_page", "first_author")
-    index = S.build_index(records, {f: (f, S.FIELD_ANALYZERS[f]) for f in names})
-    rows = S.match_journal(requests, records, index)
+    index = S.build_index(
+        records, {f: (f, S.FIELD_ANALYZERS[f]) for f in names}, carry=("volume", "first_page")
+    )
+    rows = S.match_journal(requests, index)
     return rows.select("req_id", F.col("id").alias("page_id"), F.col("raw_score").alias("score"))
 
 

@@ -3,9 +3,13 @@
 The score of a record for a request is the sum over the distinct request
 tokens of ``idf * tf / (tf + K)`` with global statistics (k1 = 1.2, b = 0.75).
 
-Matching is a join of request tokens with postings.  Two things keep it
-bounded when a few tokens occur in a large part of the records:
+Matching is a join of request tokens with postings.  Three things keep it
+bounded when a few tokens, or copies of one text, make up a large part of the
+records:
 
+* records of equal content are indexed once, with their number, and so are
+  requests of equal content matched once.  Copies score the same and are
+  ranked by id, so the smallest ids of a content stand for all of them;
 * postings of such tokens are salted, so no task holds a whole token;
 * ``top_candidates(pruned=True)`` first scores the records that share a rare
   token.  The k-th best of those is a lower bound of the k-th best overall, and
@@ -55,14 +59,19 @@ class Index:
     """Search tables.
 
     ``postings``     field, token, id, tf, doc_len, place among the record's
-                     distinct tokens, and carried record columns
+                     distinct tokens, copies, and carried record columns
     ``token_stats``  field, token, df, idf, bound (largest score share), salts
     ``field_stats``  field, n_docs, avg_len, n_postings: one row per field
+    ``members``      rep, id: the ``keep`` smallest ids of each content whose
+                     postings stand under the smallest id; None when every
+                     record is indexed on its own
     """
 
     postings: DataFrame
     token_stats: DataFrame
     field_stats: DataFrame
+    members: DataFrame | None = None
+    keep: int = 0
 
     def where(self, condition: Column) -> Index:
         """The index limited to some records, with unchanged statistics."""
@@ -117,9 +126,11 @@ def build_postings(
 def build_field_stats(postings: DataFrame) -> DataFrame:
     """Records and mean length per field; each record has one token at place 0."""
     start = F.col("place") == 0
+    docs = F.sum(F.when(start, F.col("copies")))
+    length = F.sum(F.when(start, F.col("doc_len") * F.col("copies")))
     return postings.groupBy("field").agg(
-        F.count_if(start).alias("n_docs"),
-        (F.sum(F.when(start, F.col("doc_len"))) / F.count_if(start)).alias("avg_len"),
+        docs.alias("n_docs"),
+        (length / docs).alias("avg_len"),
         F.count(F.lit(1)).alias("n_postings"),
     )
 
@@ -135,7 +146,8 @@ def build_token_stats(postings: DataFrame, field_stats: DataFrame) -> DataFrame:
     # field_stats has one row per indexed field
     joined = postings.join(F.broadcast(field_stats), "field")
     grouped = joined.groupBy("field", "token").agg(
-        F.count(F.lit(1)).alias("df"),
+        F.sum("copies").alias("df"),
+        F.count(F.lit(1)).alias("rows"),
         F.max(_share()).alias("share"),
         F.first("n_docs").alias("n_docs"),
         F.first("n_postings").alias("n_postings"),
@@ -145,10 +157,38 @@ def build_token_stats(postings: DataFrame, field_stats: DataFrame) -> DataFrame:
         "field", "token", "df",
         idf.alias("idf"),
         (idf * F.col("share")).alias("bound"),
-        F.ceil(F.col("df") * HOT_SHARE / F.col("n_postings")).cast("int").alias("salts"),
+        F.ceil(F.col("rows") * HOT_SHARE / F.col("n_postings")).cast("int").alias("salts"),
     )
 
 
+def _content(df: DataFrame, columns: list[str]) -> Column:
+    """Key of the values of some columns; equal keys mean equal values."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c) for c in columns])), 256)
+
+
+def collapse_copies(
+    records: DataFrame, columns: list[str], *, id: str, carry: tuple[str, ...], keep: int
+) -> tuple[DataFrame, DataFrame]:
+    """One record per content with its number of copies, and the members table.
+
+    Only keys and ids are grouped: counts are combined map-side, and at most
+    ``keep`` ids per content and task are shuffled.
+    """
+    keyed = records.select(F.col(id).alias("id"), *carry, _content(records, columns).alias("content"))
+    counts = keyed.groupBy("content", *carry).agg(
+        F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")
+    )
+    same = Window.partitionBy("content", *carry)
+    members = (
+        keyed.withColumn("n", F.row_number().over(same.orderBy("id")))
+        .filter(F.col("n") <= keep)
+        .select(F.min("id").over(same).alias("rep"), "id")
+    )
+    firsts = counts.select(F.col("id").alias("_first"), "copies")
+    kept = records.join(firsts, records[id] == firsts["_first"]).drop("_first")
+    return kept, members
+
+
 def build_index(
     records: DataFrame,
     fields: dict[str, tuple[str, str]] | None = None,
@@ -156,23 +196,32 @@ def build_index(
     id: str = "id",
     carry: tuple[str, ...] = (),
     stored: bool = True,
+    collapse: bool = True,
+    keep: int = BLOCK_SIZE + 1,
 ) -> Index:
-    """Search tables over records; ``stored`` writes postings and token statistics.
+    """Search tables over records with unique ids.
 
-    All matching steps read these tables, so an index that is used at all is
-    worth storing.
+    ``carry`` columns stay on the postings for conditions.  ``stored`` writes
+    the tables: all matching steps read them, so an index that is used at all
+    is worth storing.  With ``collapse`` copies are indexed once; ``keep`` must
+    exceed the number of candidates asked for later by one.
     """
     if fields is None:
         fields = {f: (f, a) for f, a in FIELD_ANALYZERS.items() if f in records.columns}
-    postings = build_postings(records, fields, id=id, carry=carry)
+    columns = sorted({column for column, _ in fields.values()})
+    kept, members = records.withColumn("copies", F.lit(1).cast("long")), None
+    if collapse:
+        kept, members = collapse_copies(records, columns, id=id, carry=carry, keep=keep)
+    postings = build_postings(kept, fields, id=id, carry=(*carry, "copies"))
     if stored:
         postings = materialise(postings, "postings")
+        members = materialise(members, "members") if collapse else None
     field_stats = build_field_stats(postings)
     token_stats = build_token_stats(postings, field_stats)
     if stored:
         token_stats = materialise(token_stats, "token-stats")
         field_stats = materialise(field_stats, "field-stats")
-    return Index(postings, token_stats, field_stats)
+    return Index(postings, token_stats, field_stats, members, keep)
 
 
 def request_tokens(
@@ -211,16 +260,9 @@ def _salted_postings(index: Index) -> DataFrame:
     )
 
 
-def bm25(
-    terms: DataFrame, index: Index, *, exclude: str | None = None
-) -> DataFrame:
-    """Score of every record that shares a term with a request.
-
-    ``exclude`` names a term column with the id a request must not match.
-    """
+def bm25(terms: DataFrame, index: Index) -> DataFrame:
+    """Score of every indexed record that shares a term with a request."""
     hits = _salted_terms(terms).join(_salted_postings(index), ["field", "token", "salt"])
-    if exclude:
-        hits = hits.filter(~F.col("id").eqNullSafe(F.col(exclude)))
     return hits.groupBy("req_id", "id").agg(
         F.sum(F.col("weight") * F.col("share")).alias("score")
     )
@@ -258,7 +300,7 @@ def _floor(scored: DataFrame, k: int) -> DataFrame:
 
 
 def _pruned_scores(
-    terms: DataFrame, index: Index, k: int, exclude: str | None, seed_df: int, budget: float
+    terms: DataFrame, index: Index, k: int, seed_df: int, budget: float
 ) -> DataFrame:
     """Scores that contain the k best candidates of every request.
 
@@ -271,7 +313,7 @@ def _pruned_scores(
        that cannot reach it even with all optional terms are left out.
     4. What remains gets its optional terms added.
     """
-    seeds = best_k(bm25(terms.filter(F.col("df") <= seed_df), index, exclude=exclude), k)
+    seeds = best_k(bm25(terms.filter(F.col("df") <= seed_df), index), k)
     floor = _floor(_full_scores(seeds.select("req_id", "id"), terms, index), k)
     order = (
         Window.partitionBy("req_id").orderBy("bound", "field", "token")
@@ -283,7 +325,7 @@ def _pruned_scores(
     ranked = materialise(ranked.withColumn("optional", F.col("reach") < limit), "ranked-terms")
 
     partial = materialise(
-        bm25(ranked.filter(~F.col("optional")), index, exclude=exclude), "partial-scores"
+        bm25(ranked.filter(~F.col("optional")), index), "partial-scores"
     )
     leaders = best_k(partial, k).select("req_id", "id")
     bounds = ranked.groupBy("req_id").agg(
@@ -303,8 +345,41 @@ def _pruned_scores(
     return alive.unionByName(extra).groupBy("req_id", "id").agg(F.sum("score").alias("score"))
 
 
+def distinct_requests(
+    requests: DataFrame, columns: list[str]
+) -> tuple[DataFrame, DataFrame]:
+    """Requests of different content under that content's key, and all keys.
+
+    The key takes the place of ``req_id``; ``whole_requests`` undoes this.
+    """
+    keyed = requests.withColumn("_content", _content(requests, columns))
+    distinct = keyed.select(F.col("_content").alias("req_id"), *columns).dropDuplicates(["req_id"])
+    return distinct, keyed
+
+
+def whole_requests(
+    best: DataFrame, keyed: DataFrame, index: Index, *, k: int, exclude: str | None = None
+) -> DataFrame:
+    """Candidates of every request from those of its content.
+
+    Contents expand to their member ids; the id in the ``exclude`` column of a
+    request is left out.
+    """
+    if index.members is not None:
+        if index.keep < k + (exclude is not None):
+            raise ValueError("the index keeps fewer copies than candidates are asked for")
+        best = best.withColumnRenamed("id", "rep").join(index.members, "rep").drop("rep")
+    scored = best.select(F.col("req_id").alias("_content"), "id", "raw_score")
+    wanted = keyed.select("req_id", "_content", *([exclude] if exclude else []))
+    rows = wanted.join(scored, "_content")
+    if exclude:
+        rows = rows.filter(~F.col("id").eqNullSafe(F.col(exclude)))
+    return best_k(rows.withColumnRenamed("raw_score", "score"), k)
+
+
 def top_candidates(
-    tokens: DataFrame,
+    requests: DataFrame,
+    fields: dict[str, tuple[str, str]],
     index: Index,
     *,
     k: int = BLOCK_SIZE,
@@ -315,14 +390,19 @@ def top_candidates(
 ) -> DataFrame:
     """The k best records per request: ``req_id, id, raw_score, blocking_rank``.
 
-    ``pruned`` suits batches of long or many requests against a large index;
-    single small batches are faster with the plain join.  The weighted terms
-    are stored so that their size is known when the joins are planned.
+    ``fields`` maps index fields to request columns.  ``pruned`` suits batches
+    of many requests against a large index; single small batches are faster
+    with the plain join.  The weighted terms are stored so that their size is
+    known when the joins are planned.
     """
-    terms = materialise(weighted_terms(tokens, index), "request-terms")
-    if pruned:
-        return best_k(_pruned_scores(terms, index, k, exclude, seed_df, budget), k)
-    return best_k(bm25(terms, index, exclude=exclude), k)
+    distinct, keyed = distinct_requests(requests, sorted({c for c, _ in fields.values()}))
+    terms = materialise(
+        weighted_terms(request_tokens(distinct, fields), index), "request-terms"
+    )
+    # one more content, as one of them may be the excluded record alone
+    n = k + (exclude is not None)
+    scores = _pruned_scores(terms, index, n, seed_df, budget) if pruned else bm25(terms, index)
+    return whole_requests(best_k(scores, n), keyed, index, k=k, exclude=exclude)
 
 
 def minmax_blocking_score(candidates: DataFrame) -> DataFrame:
@@ -343,52 +423,68 @@ BIBLIO_FIELD = {"bibliographic": ("biblio", "words_stop")}
 
 def match_biblio(requests: DataFrame, index: Index, **options) -> DataFrame:
     """Candidates for raw citation strings; blank strings have none."""
-    tokens = request_tokens(requests.filter(not_blank(F.col("biblio"))), BIBLIO_FIELD)
-    return top_candidates(tokens, index, **options)
+    usable = requests.filter(not_blank(F.col("biblio")))
+    return top_candidates(usable, BIBLIO_FIELD, index, **options)
+
+
+TITLE_FIELDS = {
+    "title": ("atitle", "words_stop"),
+    "first_author": ("first_author", "keyword_fold"),
+}
 
 
 def match_title_author(requests: DataFrame, index: Index, **options) -> DataFrame:
     """Candidates by article title words and exact folded first author."""
     usable = requests.filter(not_blank(F.col("atitle")) & not_blank(F.col("first_author")))
-    tokens = request_tokens(
-        usable,
-        {
-            "title": ("atitle", "words_stop"),
-            "first_author": ("first_author", "keyword_fold"),
-        },
-    )
-    return top_candidates(tokens, index, **options)
+    return top_candidates(usable, TITLE_FIELDS, index, **options)
 
 
-def match_journal(
-    requests: DataFrame, records: DataFrame, index: Index, *, k: int = BLOCK_SIZE
-) -> DataFrame:
+# The journal title of a request is looked for in two fields of the records.
+JOURNAL_FIELDS = {
+    "journal": ("jtitle", "words_stop"),
+    "abbreviated_journal": ("jtitle", "keyword_fold"),
+    "first_author": ("first_author", "keyword_fold"),
+}
+ISSUE_FIELDS = {
+    "volume": ("volume", "keyword_fold"),
+    "first_page": ("first_page", "keyword_fold"),
+}
+
+
+def match_journal(requests: DataFrame, index: Index, *, k: int = BLOCK_SIZE) -> DataFrame:
     """Candidates of equal volume and first page, ranked by journal and author.
 
-    The required fields add their own term scores, as every required clause
-    of the search does.
+    The index must carry ``volume`` and ``first_page``.  The required fields
+    add their own term scores, as every required clause of the search does.
+    Within an issue and page, records that share a journal or author token are
+    compared; all others score alike there, so the smallest ids stand for them.
     """
-    fold = lambda c: fold_ascii(F.lower(F.col(c)))
     usable = requests.filter(
         not_blank(F.col("jtitle")) & not_blank(F.col("volume")) & not_blank(F.col("first_page"))
     )
-    pairs = usable.select(
-        "req_id", fold("volume").alias("_volume"), fold("first_page").alias("_page")
-    ).join(
-        records.select("id", fold("volume").alias("_volume"), fold("first_page").alias("_page")),
-        ["_volume", "_page"],
+    fields = {**JOURNAL_FIELDS, **ISSUE_FIELDS}
+    distinct, keyed = distinct_requests(usable, sorted({c for c, _ in fields.values()}))
+    place = [fold_ascii(F.lower(c)).alias(f"_{c}") for c in ("volume", "first_page")]
+    keys = ["_volume", "_first_page"]
+    places = distinct.select("req_id", *place)
+    terms = materialise(
+        weighted_terms(request_tokens(distinct, fields), index).join(places, "req_id"),
+        "request-terms",
+    )
+    should = terms.filter(F.col("field").isin(*JOURNAL_FIELDS)).select("req_id", "field", "token", *keys)
+    sharing = should.join(
+        index.postings.select("field", "token", "id", *place), ["field", "token", *keys]
     ).select("req_id", "id")
-    tokens = request_tokens(
-        usable.withColumn("_abbreviated", F.col("jtitle")),
-        {
-            "journal": ("jtitle", "words_stop"),
-            "abbreviated_journal": ("_abbreviated", "keyword_fold"),
-            "volume": ("volume", "keyword_fold"),
-            "first_page": ("first_page", "keyword_fold"),
-            "first_author": ("first_author", "keyword_fold"),
-        },
+    smallest = (
+        index.postings.filter((F.col("field") == "volume") & (F.col("place") == 0))
+        .select("id", *place)
+        .withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("id")))
+        .filter(F.col("_n") <= k)
     )
-    return best_k(_full_scores(pairs, weighted_terms(tokens, index), index), k)
+    others = places.join(smallest, keys).select("req_id", "id")
+    pairs = sharing.unionByName(others).distinct()
+    best = best_k(_full_scores(pairs, terms, index), k)
+    return whole_requests(best, keyed, index, k=k)
 
 
 def match_biblio_conditional(
@@ -409,8 +505,5 @@ def match_biblio_conditional(
         index = index.where(F.col("has_doi"))
     if sources is not None:
         index = index.where(F.col("source").isin(*sources))
-    tokens = request_tokens(
-        requests.filter(not_blank(F.col("biblio"))), BIBLIO_FIELD,
-        carry=(exclude,) if exclude else (),
-    )
-    return top_candidates(tokens, index, exclude=exclude, **options)
+    usable = requests.filter(not_blank(F.col("biblio")))
+    return top_candidates(usable, BIBLIO_FIELD, index, exclude=exclude, **options)

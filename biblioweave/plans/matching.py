@@ -31,7 +31,8 @@ class Store:
     """The key tables a request can be answered from.
 
     ``works`` and ``hal_works`` carry ``json``, ``record_title`` and
-    ``record_author`` for validation.
+    ``record_author`` for validation; the index carries ``volume`` and
+    ``first_page`` of the records.
     """
 
     works: DataFrame
@@ -151,7 +152,7 @@ def _match_title_route(requests: DataFrame, store: Store) -> DataFrame:
 
 
 def _match_journal_route(requests: DataFrame, store: Store) -> DataFrame:
-    candidates = match_journal(requests, store.records, store.index)
+    candidates = match_journal(requests, store.index)
     return _ranked(requests, candidates, store, {"year": None}, None)
 
 

@@ -224,3 +224,85 @@ def test_audits(spark, pruned):
     }
     row = audit.audit_summary(records, missing, duplicates).collect()[0]
     assert tuple(row) == (5, 2, 3, 2, 4)
+
+
+def best_others(docs: dict[int, str], k: int):
+    """Brute-force top k other records per record."""
+    want = {}
+    for r, d, s in bm25_by_hand(docs, docs, len(docs)):
+        if r != d:
+            want.setdefault(r, []).append((-s, d))
+    return {(r, d) for r, rows in want.items() for _, d in sorted(rows)[:k]}
+
+
+@pytest.mark.parametrize("pruned", [False, True])
+def test_a_third_of_all_records_are_copies(spark, pruned):
+    docs = small_corpus(3, hot=True)
+    docs.update({1000 + i: "same words copied w1 w5" for i in range(60)})
+    df = spark.createDataFrame(list(docs.items()), "id long, text string")
+    index = search.build_index(df, {"bibliographic": ("text", "words_stop")})
+    # copies are indexed once, under their smallest id
+    assert index.postings.filter("id >= 1000").select("id").distinct().count() == 1
+    assert index.members.filter("rep >= 1000").count() == search.BLOCK_SIZE + 1
+    requests = df.select(F.col("id").alias("req_id"), F.col("text").alias("biblio"), F.col("id").alias("own"))
+    plain = search.match_biblio(requests, index, pruned=pruned, seed_df=5).collect()
+    assert {(r.req_id, r.id) for r in plain} == {w[:2] for w in bm25_by_hand(docs, docs, 4)}
+    others = search.match_biblio_conditional(requests, index, exclude="own", pruned=pruned, seed_df=5).collect()
+    assert {(r.req_id, r.id) for r in others} == best_others(docs, 4)
+
+
+def test_index_keeps_enough_copies(spark):
+    df = spark.createDataFrame([(1, "a1"), (2, "a1")], "id long, text string")
+    index = search.build_index(df, {"bibliographic": ("text", "words_stop")}, keep=2)
+    requests = df.select(F.col("id").alias("req_id"), F.col("text").alias("biblio"))
+    assert search.match_biblio(requests, index, k=2).count() == 4
+    with pytest.raises(ValueError):
+        search.match_biblio(requests, index, k=3)
+
+
+def test_journal_match_in_a_hot_issue(spark):
+    """One volume and page holds most records; few share the journal."""
+    rng = random.Random(5)
+    rows = [
+        (i, rng.choice(["Marine Notes", "Physics Letters", "Notes on Rivers", "Unrelated"]), "Mar",
+         "7" if i % 5 else "8", "P1", rng.choice(["Smith", "Kim", "Roe"]))
+        for i in range(80)
+    ]
+    schema = "id long, j string, abbreviated_journal string, volume string, first_page string, first_author string"
+    records = spark.createDataFrame(rows, schema).withColumn("journal", F.array("j"))
+    names = ("journal", "abbreviated_journal", "volume", "first_page", "first_author")
+    index = search.build_index(
+        records, {f: (f, search.FIELD_ANALYZERS[f]) for f in names}, carry=("volume", "first_page")
+    )
+    requests = spark.createDataFrame(
+        [("a", "Physics Letters", "7", "p1", "kim"), ("b", "Nothing shared", "8", "p1", None), ("c", "mar", "7", "p1", "Zed")],
+        "req_id string, jtitle string, volume string, first_page string, first_author string",
+    )
+    got = search.match_journal(requests, index).collect()
+
+    def share(value, token, field):
+        tokens = {r[0]: value(r) for r in rows}
+        df = sum(token in t for t in tokens.values())
+        mean = sum(map(len, tokens.values())) / len(tokens)
+        idf = math.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
+        return {
+            i: idf * t.count(token) / (t.count(token) + 1.2 * (0.25 + 0.75 * len(t) / mean))
+            for i, t in tokens.items() if token in t
+        }
+
+    journal = lambda r: [w for w in r[1].lower().split() if w != "on"]
+    exact = lambda n: lambda r: [r[n].lower()]
+    for req in requests.collect():
+        inside = {r[0] for r in rows if r[3] == req.volume}
+        scores = dict.fromkeys(inside, 0.0)
+        wanted = [(journal, w) for w in req.jtitle.lower().split()] + [
+            (exact(2), req.jtitle.lower()), (exact(3), req.volume), (exact(4), req.first_page)
+        ]
+        if req.first_author:
+            wanted.append((exact(5), req.first_author.lower()))
+        for value, token in wanted:
+            for i, s in share(value, token, None).items():
+                if i in inside:
+                    scores[i] += s
+        best = sorted(scores, key=lambda i: (-round(scores[i], 6), i))[:4]
+        assert [r.id for r in sorted(got, key=lambda r: r.blocking_rank) if r.req_id == req.req_id] == best

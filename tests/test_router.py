@@ -46,7 +46,7 @@ def make_store(spark):
         pmid_maps=tables.build_pmid_maps(ids), istex_maps=tables.build_istex_maps(istex),
         oa_links=spark.createDataFrame([("10.1/a", "http://oa")], "doi string, oa_url string"),
         doi_hal=spark.createDataFrame([("10.1/a", "hal-9")], "doi string, hal_id string"),
-        records=records, index=search.build_index(records),
+        records=records, index=search.build_index(records, carry=("volume", "first_page")),
     )
 
 
