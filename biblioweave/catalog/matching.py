@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from biblioweave.catalog import Tables, query
+from biblioweave.catalog import Tables, gestalt_sql, query
+from biblioweave.catalog.matching_sql import FOLD, PAGE_SQL, tokens_sql
 from biblioweave.functions.similarity import ratcliff_obershelp
-from biblioweave.functions.text import ENGLISH_STOP_WORDS, analyze
+from biblioweave.functions.text import analyze
 from biblioweave.operators import ranking as R
 from biblioweave.operators import search as S
 from biblioweave.operators.audit import (
@@ -13,15 +14,6 @@ from biblioweave.operators.audit import (
 from biblioweave.plans.matching import Store, resolve_requests
 from biblioweave.session import materialise, spread
 
-STOP = ", ".join(f"'{w}'" for w in ENGLISH_STOP_WORDS)
-FOLD = "strip_accents(replace(replace(replace(lower({0}), 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'))"
-WORDS = "regexp_extract_all(" + FOLD + r", '[\p{{L}}\p{{N}}]+')"
-
-
-def tokens_sql(column: str) -> str:
-    return f"[x FOR x IN {WORDS.format(column)} IF x NOT IN ({STOP})]"
-
-
 TEXT = {"bibliographic": ("text", "words_stop")}
 
 DOC_INDEX_SQL = f"""
@@ -220,16 +212,6 @@ def inner_tokens(t: Tables):
     return passages(t).select("req_id", F.explode(F.array_distinct(inner)).alias("token"))
 
 
-PAGE_SQL = r"""
-page AS (SELECT page_id, regexp_extract(html, '<title>(.*?)</title>', 1) AS title,
-    regexp_extract(url, '^https?://([^/]+)', 1) AS host,
-    regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1) AS lang,
-    regexp_extract(url, '^https?://[^/]+/[a-z]+/([0-9]+)', 1) AS num,
-    url LIKE 'https:%' AS has_doi
-  FROM pages)
-"""
-
-
 def page_records(t: Tables):
     """Web pages in the shape of search records.
 
@@ -378,7 +360,7 @@ def match_journal(t: Tables):
     return rows.select("req_id", F.col("id").alias("page_id"), F.col("raw_score").alias("score"))
 
 
-@query("X8_ratcliff_obershelp")
+@query("X8_ratcliff_obershelp", gestalt_sql.PAIR_SIMILARITY_SQL)
 def similarity(t: Tables):
     """Title similarity of every page and its best other page by text relevance."""
     records = materialise(page_records(t), "page-records")
@@ -499,19 +481,19 @@ def _page_audit_index(records):
     )
 
 
-@query("A1_audit_missing_doi")
+@query("A1_audit_missing_doi", gestalt_sql.MISSING_DOI_SQL)
 def missing_doi(t: Tables):
     records = materialise(page_records(t), "page-records")
     return audit_missing_doi(records, _page_audit_index(records), pruned=True)
 
 
-@query("A2_audit_duplicates")
+@query("A2_audit_duplicates", gestalt_sql.DUPLICATES_SQL)
 def duplicates(t: Tables):
     records = materialise(page_records(t), "page-records")
     return audit_duplicates(records, _page_audit_index(records), pruned=True)
 
 
-@query("A3_audit_summary")
+@query("A3_audit_summary", gestalt_sql.SUMMARY_SQL)
 def summary(t: Tables):
     records = materialise(page_records(t), "page-records")
     index = _page_audit_index(records)

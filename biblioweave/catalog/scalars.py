@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from biblioweave.catalog import Tables, query
 from biblioweave.catalog import shapes as T
-from biblioweave.catalog.matching import FOLD, STOP, WORDS
+from biblioweave.catalog.matching_sql import FOLD, STOP, WORDS
 from biblioweave.functions import codes, dates, ids, mesh, pages, people, text
 from biblioweave.operators import records as R
 
