@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from biblioweave.functions.text import not_blank
@@ -57,13 +57,15 @@ def _best_accepted(
 
 def audit_missing_doi(
     records: DataFrame, index: Index, *, own_source: str = "hal",
-    sources: tuple[str, ...] | None = None, **options,
+    sources: tuple[str, ...] | None = None, pruned: bool = True, **options,
 ) -> DataFrame:
     """Repository records without DOI and the DOI of their accepted match."""
     requests = record_requests(
         records.filter((F.col("source") == own_source) & ~not_blank(F.col("doi")))
     )
-    candidates = match_biblio_conditional(requests, index, sources=sources, **options)
+    candidates = match_biblio_conditional(
+        requests, index, sources=sources, pruned=pruned, **options
+    )
     best = _best_accepted(requests, candidates, records)
     return best.filter(not_blank(F.col("c_doi"))).select(
         F.col("req_id").alias("hal_id"), F.col("c_doi").alias("doi"),
@@ -73,14 +75,14 @@ def audit_missing_doi(
 
 def audit_duplicates(
     records: DataFrame, index: Index, *, own_source: str = "hal",
-    sources: tuple[str, ...] | None = None, **options,
+    sources: tuple[str, ...] | None = None, pruned: bool = True, **options,
 ) -> DataFrame:
     """Repository records and the other repository record that matches them best."""
     requests = record_requests(
         records.filter((F.col("source") == own_source) & not_blank(F.col("hal_id")))
     )
     candidates = match_biblio_conditional(
-        requests, index, exclude="own_id", sources=sources, **options
+        requests, index, exclude="own_id", sources=sources, pruned=pruned, **options
     )
     best = _best_accepted(requests, candidates, records)
     return best.filter(
@@ -132,9 +134,3 @@ def table_sizes(tables: dict[str, DataFrame]) -> DataFrame:
 def sample_rows(table: DataFrame, *key: str, n: int = 100) -> DataFrame:
     """The first ``n`` rows in key order."""
     return table.orderBy(*key).limit(n)
-
-
-def open_access_by_id(ids: DataFrame, oa_links: DataFrame, *, total_if: Column | None = None) -> DataFrame:
-    """Id rows with DOI joined to their open-access link."""
-    kept = ids if total_if is None else ids.filter(total_if)
-    return kept.join(oa_links, "doi", "left")

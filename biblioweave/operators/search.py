@@ -348,13 +348,16 @@ def _pruned_scores(
 def distinct_requests(
     requests: DataFrame, columns: list[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """Requests of different content under that content's key, and all keys.
+    """One request per content, and for all requests the id that stands for them.
 
-    The key takes the place of ``req_id``; ``whole_requests`` undoes this.
+    The smallest ``req_id`` stands for a content; ``whole_requests`` undoes this.
     """
     keyed = requests.withColumn("_content", _content(requests, columns))
-    distinct = keyed.select(F.col("_content").alias("req_id"), *columns).dropDuplicates(["req_id"])
-    return distinct, keyed
+    first = keyed.groupBy("_content").agg(F.min("req_id").alias("_first"))
+    distinct = requests.select("req_id", *columns).join(
+        first.select(F.col("_first").alias("req_id")), "req_id", "left_semi"
+    )
+    return distinct, keyed.join(first, "_content").drop("_content")
 
 
 def whole_requests(
@@ -369,12 +372,11 @@ def whole_requests(
         if index.keep < k + (exclude is not None):
             raise ValueError("the index keeps fewer copies than candidates are asked for")
         best = best.withColumnRenamed("id", "rep").join(index.members, "rep").drop("rep")
-    scored = best.select(F.col("req_id").alias("_content"), "id", "raw_score")
-    wanted = keyed.select("req_id", "_content", *([exclude] if exclude else []))
-    rows = wanted.join(scored, "_content")
+    scored = best.select(F.col("req_id").alias("_first"), "id", F.col("raw_score").alias("score"))
+    rows = keyed.select("req_id", "_first", *([exclude] if exclude else [])).join(scored, "_first")
     if exclude:
         rows = rows.filter(~F.col("id").eqNullSafe(F.col(exclude)))
-    return best_k(rows.withColumnRenamed("raw_score", "score"), k)
+    return best_k(rows.select("req_id", "id", "score"), k)
 
 
 def top_candidates(

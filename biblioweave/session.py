@@ -18,6 +18,7 @@ RUNTIME_CONF = {
 }
 
 _local_scratch: str | None = None
+_written: list[str] = []
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -67,10 +68,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables of this process, once no result needs them."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
+
+
 def spread(scan: DataFrame, *key: str) -> DataFrame:
     """A file scan with at least one partition per core.
 

@@ -5,13 +5,14 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from biblioweave.session import local_session  # noqa: E402
+from biblioweave.session import local_session, release_scratch  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(cpus=4, memory="4g")
     yield session
+    release_scratch(session)
     session.stop()
 
 
