@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from biblioweave.llm import quality
+from biblioweave.llm import language, quality
+from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +35,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 @query("op8_quality_rules")
 def op8(spark, folder):
     return quality.quality_rules(table(spark, folder, "documents"))
+
+
+@query("op7_language_id")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    fold = crc_fold(F.col("doc_id"), 4)
+    found = language.identify(docs, fold != 2)
+    held_out = crc_fold(F.col("row.doc_id"), 4) == 2
+    return found.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score")
