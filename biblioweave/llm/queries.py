@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import language, quality
+from biblioweave.llm import bpe, language, quality
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -44,3 +45,19 @@ def op7(spark, folder):
     found = language.identify(docs, fold != 2)
     held_out = crc_fold(F.col("row.doc_id"), 4) == 2
     return found.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def _sha(data: str) -> Column:
+    return F.sha2(data, 256)
+
+
+@query("op1_byte_bpe")
+def op1(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    coded = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(
+        "row.doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        _sha("ids").alias("ids_sha256"),
+        _sha("decoded").alias("decoded_sha256"),
+    )
