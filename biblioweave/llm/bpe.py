@@ -30,10 +30,9 @@ from heapq import heapify, heappop, heappush
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biblioweave.llm.common import steps, texts
+from biblioweave.llm.common import carried, steps, texts
 
 LEAF_CHARS = 2048
 LEAF_BYTES = 3
@@ -235,8 +234,8 @@ class ByteBpe:
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
 
-def encode_texts(docs: DataFrame, rank_file: str, pattern: str, text="text") -> DataFrame:
-    """``row`` (all columns of ``docs``), ids (binary, little-endian unsigned 32-bit) and the decoded bytes."""
+def encode_texts(docs: DataFrame, rank_file: str, pattern: str, text="text", keep=None) -> DataFrame:
+    """``row`` (the columns in ``keep``, or all), ids (binary, little-endian unsigned 32-bit) and the decoded bytes."""
     with open(rank_file, "rb") as f:
         data = f.read()
 
@@ -249,6 +248,6 @@ def encode_texts(docs: DataFrame, rank_file: str, pattern: str, text="text") ->
                 [batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.binary())], ["row", "ids", "decoded"]
             )
 
-    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    packed = carried(docs, text, keep)
     fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
     return packed.mapInArrow(run, T.StructType([packed.schema["row"], *fields]))

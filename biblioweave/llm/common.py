@@ -39,6 +39,6 @@ def texts(column) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def pick(df: DataFrame, **columns: str | Column) -> DataFrame:
-    """Only the named columns, so that extra columns of the input cannot clash."""
-    return df.select(*[(df[c] if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
+def carried(docs: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
+    """``row``: the columns to keep (all unless named) in one struct, where no name can clash; and ``text``."""
+    return docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text).alias("text"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biblioweave.llm.common import steps, texts
+from biblioweave.llm.common import carried, steps, texts
 
 PROFILE_SIZE = 300
 UNDETERMINED = "und"
@@ -148,8 +148,8 @@ class Profiles:
         return [self.langs[b] if s else UNDETERMINED for b, s in zip(best, some)], np.where(some, score, 0.0).tolist()
 
 
-def identify(docs: DataFrame, learn_from: Column, text="text", lang="lang", size: int = PROFILE_SIZE) -> DataFrame:
-    """``row`` (all columns of ``docs``), lang_pred and score; learned from the rows where ``learn_from`` holds."""
+def identify(docs: DataFrame, learn_from: Column, text="text", lang="lang", size: int = PROFILE_SIZE, keep=None) -> DataFrame:
+    """``row`` (the columns in ``keep``, or all), lang_pred and score; learned from the rows where ``learn_from`` holds."""
     profiles = Profiles(learn_profiles(docs.where(learn_from), text, lang, size).collect(), size)
 
     def predict(batches):
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, learn_from: Column, text="text", lang="lang", size
                 [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"]
             )
 
-    packed = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
+    packed = carried(docs, text, keep)
     schema = T.StructType([packed.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return packed.mapInArrow(predict, schema)
 

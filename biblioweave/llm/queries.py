@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import bpe, language, quality
+from biblioweave.llm import bpe, html, language, quality
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -42,7 +42,7 @@ def op8(spark, folder):
 def op7(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     fold = crc_fold(F.col("doc_id"), 4)
-    found = language.identify(docs, fold != 2)
+    found = language.identify(docs, fold != 2, keep=["doc_id"])
     held_out = crc_fold(F.col("row.doc_id"), 4) == 2
     return found.select("row.doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
@@ -54,10 +54,16 @@ def _sha(data: str) -> Column:
 @query("op1_byte_bpe")
 def op1(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    coded = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    coded = bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, keep=["doc_id"])
     return coded.select(
         "row.doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         _sha("ids").alias("ids_sha256"),
         _sha("decoded").alias("decoded_sha256"),
     )
+
+
+@query("op3_main_text")
+def op3(spark, folder):
+    found = html.extract(table(spark, folder, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    return found.select("row.page_id", "row.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
