@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import bpe, html, language, quality
+from biblioweave.llm import bpe, html, language, packing, quality
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -67,3 +67,13 @@ def op1(spark, folder):
 def op3(spark, folder):
     found = html.extract(table(spark, folder, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
     return found.select("row.page_id", "row.url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op2_packing")
+def op2(spark, folder):
+    return packed(table(spark, folder, "documents").select("doc_id", "source", "text"))
