@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import bpe, html, language, packing, quality
+from biblioweave.llm import bpe, fingerprint, html, language, packing, quality
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -77,3 +77,11 @@ def packed(docs: DataFrame) -> DataFrame:
 @query("op2_packing")
 def op2(spark, folder):
     return packed(table(spark, folder, "documents").select("doc_id", "source", "text"))
+
+
+@query("op5_fingerprints")
+def op5(spark, folder):
+    found = fingerprint.compare_edited(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", "n_chars", _sha("edited_text").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+    )
