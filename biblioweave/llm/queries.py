@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import bpe, fingerprint, html, language, packing, quality
+from biblioweave.llm import bpe, fingerprint, html, language, packing, quality, toxicity
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -85,3 +85,13 @@ def op5(spark, folder):
     return found.select(
         "doc_id", "n_chars", _sha("edited_text").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
+
+
+@query("op4_toxicity")
+def op4(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    learn = crc_fold(F.col("doc_id"), 5) != 0
+    network = toxicity.train(*toxicity.labelled_sample(docs, table(spark, folder, "labels"), learn, toxicity.Sample()))
+    found = toxicity.score(docs, network, keep=["doc_id"])
+    held_out = crc_fold(F.col("row.doc_id"), 5) == 0
+    return found.select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
