@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,37 @@ def texts(column) -> list[str]:
 def carried(docs: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
     """``row``: the columns to keep (all unless named) in one struct, where no name can clash; and ``text``."""
     return docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text).alias("text"))
+
+
+def folding(lower_all: bool) -> np.ndarray:
+    """Code of each code point for hashing: 0 for white space, lower case for all letters or only A to Z."""
+    codes = np.arange(1, 0x110001, dtype=np.uint64)
+    for point in range(0x110000 if lower_all else 128):
+        low = chr(point).lower()
+        if len(low) == 1:
+            codes[point] = ord(low) + 1
+    codes[[0x20, *range(0x09, 0x0E)]] = 0
+    return codes
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A well-spread 64-bit hash of 64-bit numbers."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(docs: list[str], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of some texts, and where each text's words begin (one more place at the end)."""
+    joined = " " + " ".join(docs) + " "
+    folded = codes[np.frombuffer(joined.encode("utf-32-le", "replace"), "<u4")]
+    owner = np.concatenate([[0], np.repeat(np.arange(len(docs)), [len(x) + 1 for x in docs])])
+    at = np.flatnonzero(folded)
+    if not len(at):
+        return np.zeros(0, np.uint64), np.zeros(len(docs) + 1, np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], np.diff(at) > 1]))
+    lengths = np.diff(np.append(starts, len(at)))
+    within = np.arange(len(at)) - np.repeat(starts, lengths)
+    powers = np.cumprod(np.full(lengths.max(), 6364136223846793005, np.uint64), dtype=np.uint64)
+    hashes = mix(np.add.reduceat(folded[at] * powers[within], starts))
+    return hashes, np.searchsorted(owner[at[starts]], np.arange(len(docs) + 1))

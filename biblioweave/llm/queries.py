@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import bpe, fingerprint, html, language, packing, quality, toxicity
+from biblioweave.llm import bpe, fingerprint, html, language, neardup, packing, quality, toxicity
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -95,3 +95,8 @@ def op4(spark, folder):
     found = toxicity.score(docs, network, keep=["doc_id"])
     held_out = crc_fold(F.col("row.doc_id"), 5) == 0
     return found.select("row.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op9_near_duplicates")
+def op9(spark, folder):
+    return neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "class_id")
