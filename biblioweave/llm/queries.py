@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import bpe, fingerprint, html, language, neardup, packing, quality, toxicity
+from biblioweave.llm import bpe, fingerprint, html, language, neardup, packing, privacy, quality, toxicity
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -100,3 +100,15 @@ def op4(spark, folder):
 @query("op9_near_duplicates")
 def op9(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+@query("op6_personal_data")
+def op6(spark, folder):
+    found = privacy.find_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.col("_base")
+    return found.select(
+        "doc_id",
+        *[privacy.count_of(base, kind).alias(f"n_{kind}") for kind in privacy.KINDS],
+        F.sha2(privacy.as_text(base).cast("binary"), 256).alias("base_sha256"),
+        privacy.as_text(F.concat(base, "_extra")).alias("spans"),
+    )
