@@ -180,8 +180,9 @@ def clean_documents(docs: DataFrame, doc_id="doc_id", text="text", host="source"
     lines = F.split("_text", "\n")
     left = F.filter(lines, lambda x: ~((F.size(words(x)) <= LINE_WORDS) & F.array_contains("_gone", F.xxhash64(normal_line(x)))))
     kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
-    cleaned = joined.withColumn("_clean", kept).where(
-        ~F.col("base_failed") & (F.size(words(F.col("_clean"))) >= (1 - DEPLETED_SHARE) * F.col("n_words"))
-    )
+    # judged in one pass and written, since a filter above the counts would be computed from the text again
+    judged = joined.withColumn("_clean", kept)
+    stays = ~F.col("base_failed") & (F.size(words(F.col("_clean"))) >= (1 - DEPLETED_SHARE) * F.col("n_words"))
     renewed = {text: F.col("_clean")} | ({"n_chars": F.length("_clean").cast("long")} if "n_chars" in columns else {})
-    return cleaned.select(*[renewed.get(c, F.col(c)).alias(c) for c in columns])
+    judged = judged.select(F.struct(*[renewed.get(c, F.col(c)).alias(c) for c in columns]).alias("row"), stays.alias("stays"))
+    return materialise(judged, "judged-documents").where("stays").select("row.*")
