@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import bpe, fingerprint, html, language, neardup, packing, privacy, quality, toxicity
+from biblioweave.llm import bpe, fingerprint, html, language, lm, neardup, packing, privacy, quality, toxicity
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -112,3 +112,12 @@ def op6(spark, folder):
         F.sha2(privacy.as_text(base).cast("binary"), 256).alias("base_sha256"),
         privacy.as_text(F.concat(base, "_extra")).alias("spans"),
     )
+
+
+@query("op10_language_model")
+def op10(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    fold = crc_fold(F.col("doc_id"), 7)
+    found = lm.score(docs, fold != 2, fold == 3, keep=["doc_id"])
+    held_out = crc_fold(F.col("row.doc_id"), 7) == 2
+    return found.select("row.doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
