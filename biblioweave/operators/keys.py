@@ -20,8 +20,11 @@ def latest_per_key(df: DataFrame, key: str, order_by: list[Column]) -> DataFrame
     return ranked.filter("_rank = 1").drop("_rank")
 
 
-def any_order(df: DataFrame, key: str) -> list[Column]:
-    """A fixed order for tables without a write order: all other columns, descending."""
+def last_written(df: DataFrame, key: str) -> list[Column]:
+    """Later rows first by ``seq``, the place a reader gives them; tables without one
+    get a fixed order: all other columns, descending."""
+    if "seq" in df.columns:
+        return [F.col("seq").desc_nulls_last()]
     return [F.col(c).desc_nulls_last() for c in df.columns if c != key]
 
 

@@ -41,10 +41,12 @@ def pairwise_rank(
             criteria.append((not_blank(wanted), _similarity(wanted, candidate)))
     if journal:
         wanted = F.col(journal[0])
-        score = _similarity(wanted, F.col(journal[1]))
-        if abbreviated:
-            score = F.greatest(score, _similarity(wanted, F.col(abbreviated)))
         strong = F.lit(True) if has_strong_id is None else has_strong_id
+        # no text is compared where the criterion does not count
+        compared = F.when(not_blank(wanted) & strong, wanted)
+        score = _similarity(compared, F.col(journal[1]))
+        if abbreviated:
+            score = F.greatest(score, _similarity(compared, F.col(abbreviated)))
         criteria.append((not_blank(wanted) & strong, score))
     if year:
         wanted, candidate = F.col(year[0]), F.col(year[1])

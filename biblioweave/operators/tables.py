@@ -12,7 +12,7 @@ from biblioweave.functions.ids import (
 from biblioweave.functions.mesh import mesh_record
 from biblioweave.functions.pages import page_range
 from biblioweave.functions.text import not_blank, null_if_blank, simple_clean
-from biblioweave.operators.keys import any_order, latest_per_key, left_lookup
+from biblioweave.operators.keys import last_written, latest_per_key, left_lookup
 from biblioweave.operators.records import drop_ignored_fields, reject_incomplete
 
 PMC_PDF = "https://www.ncbi.nlm.nih.gov/pmc/articles/"
@@ -30,7 +30,7 @@ def build_works(
     rows = reject_incomplete(records, kind=kind, invalid=invalid)
     rows = rows.withColumn("doi", normalise_doi(F.col("doi")))
     order = [F.col(c).desc_nulls_last() for c in order_by if c in rows.columns]
-    rows = latest_per_key(rows, "doi", order or any_order(rows, "doi"))
+    rows = latest_per_key(rows, "doi", order or last_written(rows, "doi"))
     if "json" in rows.columns and ignored_fields is not None:
         rows = rows.withColumn("json", drop_ignored_fields(F.col("json"), ignored_fields))
     return rows
@@ -62,7 +62,7 @@ def build_pmid_maps(
         {"doi": normalise_doi(F.col("doi")), "pmcid": null_if_blank(F.col("pmcid"))}
     )
     return {
-        key: latest_per_key(rows, key, order_by or any_order(rows, key))
+        key: latest_per_key(rows, key, order_by or last_written(rows, key))
         for key in ("doi", "pmid", "pmcid")
     }
 
@@ -73,8 +73,10 @@ def enrich_pmid_with_oa_files(
     """License and archive path by PMC id; empty new values keep the old ones.
 
     Of several rows for one PMC id the last non-empty value by ``order_by``
-    counts, the greatest value without an order.
+    counts (by ``seq`` if the reader gave it), the greatest value without an order.
     """
+    if order_by is None and "seq" in oa_files.columns:
+        order_by = "seq"
 
     def last_value(name: str) -> Column:
         filled = F.length(name) > 0
@@ -99,10 +101,15 @@ def enrich_pmid_with_oa_files(
 
 def count_unknown_pmc(pmid_map: DataFrame, oa_files: DataFrame) -> DataFrame:
     """Number of file-list rows whose PMC id is not in the id table."""
-    missing = oa_files.join(pmid_map.select("pmcid"), "pmcid", "left_anti")
+    named = oa_files.filter(not_blank(F.col("pmcid")))
+    missing = named.join(pmid_map.select("pmcid"), "pmcid", "left_anti")
     return missing.agg(F.count(F.lit(1)).alias("unknown_pmc"))
 
 
+def _written(df: DataFrame) -> list[Column]:
+    return [F.col("seq").desc_nulls_last()] if "seq" in df.columns else []
+
+
 ISTEX_FIELDS = ("corpus_name", "istex_id", "doi", "pmid", "pmc", "ark", "mesh", "pii")
 
 
@@ -116,11 +123,11 @@ def build_istex_maps(
             "*", F.explode(key).alias("_raw")
         ).withColumn("key", normalise_key(F.col("_raw"))).drop("_raw")
         maps[key] = latest_per_key(
-            keyed, "key", order_by or [F.col("istex_id").desc_nulls_last()]
+            keyed, "key", order_by or _written(istex) or [F.col("istex_id").desc_nulls_last()]
         )
     keyed = istex.withColumn("key", F.col("istex_id"))
     maps["istex_id"] = latest_per_key(
-        keyed, "key", order_by or [F.to_json(F.struct(*istex.columns)).desc_nulls_last()]
+        keyed, "key", order_by or _written(istex) or [F.to_json(F.struct(*istex.columns)).desc_nulls_last()]
     )
     return maps
 
@@ -137,7 +144,7 @@ def build_hal_works(
     """Repository id to record JSON, and DOI to repository id."""
     rows = biblio_to_work(biblio, source="hal").withColumn("hal_id", normalise_key(F.col("hal_id")))
     works = latest_per_key(
-        rows, "hal_id", order_by or [F.col("json").desc()]
+        rows, "hal_id", order_by or _written(rows) or [F.col("json").desc()]
     ).select("hal_id", "doi", "json")
     doi_hal = latest_per_key(
         works.select(normalise_doi(F.col("doi")).alias("doi"), "hal_id"), "doi",
@@ -311,14 +318,17 @@ def fill_missing_ids(
 
 
 def fill_reference_ids(
-    biblio: DataFrame, maps: dict[str, DataFrame], *, key: str = "pmid"
+    biblio: DataFrame, maps: dict[str, DataFrame]
 ) -> DataFrame:
     """``fill_missing_ids`` for the references of each record, order kept.
 
-    ``key`` is unique per row; a record's references come from one row and go
-    back to it, so the regrouped arrays are no larger than they were.
+    A record's references are found again by a hash of the whole list, never null;
+    equal lists are filled once, and the regrouped arrays are as large as they were.
     """
-    refs = biblio.select(F.col(key).alias("_owner"), F.posexplode("references").alias("_pos", "r"))
+    owner = F.sha2(F.to_json("references"), 256)
+    refs = biblio.filter(F.size("references") > 0).select(
+        owner.alias("_owner"), F.posexplode("references").alias("_pos", "r")
+    ).dropDuplicates(["_owner", "_pos"])
     refs = refs.select(
         "_owner", "_pos", "r.unstructured", "r.pmid", "r.doi", "r.pmc", "r.pii"
     )
@@ -335,7 +345,7 @@ def fill_reference_ids(
             ),
         ).alias("_references")
     )
-    joined = biblio.join(regrouped, biblio[key] == regrouped["_owner"], "left")
+    joined = biblio.withColumn("_list", owner).join(regrouped, F.col("_list") == F.col("_owner"), "left")
     return joined.withColumn("references", F.coalesce("_references", "references")).select(
         *biblio.columns
     )

@@ -27,7 +27,7 @@ def load_dump(
     raw = read_works(spark, path)
     if default_source:
         raw = raw.withColumn("source", F.coalesce("source", F.lit(default_source)))
-    parsed = materialise(raw.withColumn("seq", F.monotonically_increasing_id()), "parsed-works")
+    parsed = materialise(raw, "parsed-works")
     works = build_works(parsed, ignored_fields=ignored_fields, invalid="invalid")
     write_key_table(works.drop("invalid"), f"{out}/works")
     stored = spark.read.parquet(f"{out}/works")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from biblioweave.session import materialise
 from biblioweave.functions.text import not_blank
 from biblioweave.operators import lookup as L
 from biblioweave.operators.audit import candidate_fields
@@ -165,22 +166,24 @@ def resolve_requests(
     title and author match that fails falls through to the journal match when
     all journal fields are given.
     """
-    routed = requests.withColumn("route", route_column())
+    # written once: each route reads it, and a route's result is read by several others
+    routed = materialise(requests.withColumn("route", route_column()), "routed-requests")
     results = _by_identifier(routed, store)
 
     results.append(
         _match_biblio_route(routed.filter("route = 'biblio'"), store, parsed)
     )
     by_title = routed.filter("route = 'title_author'")
-    title_result = _match_title_route(by_title, store)
+    title_result = materialise(_match_title_route(by_title, store), "title-results")
     has_journal = (
         not_blank(F.col("jtitle")) & not_blank(F.col("volume")) & not_blank(F.col("first_page"))
     )
     retry = by_title.filter(has_journal).join(
         title_result.filter("status <> 'found'").select("req_id"), "req_id", "left_semi"
     )
-    second = _match_journal_route(
-        routed.filter("route = 'journal'").unionByName(retry), store
+    second = materialise(
+        _match_journal_route(routed.filter("route = 'journal'").unionByName(retry), store),
+        "journal-results",
     )
     results.append(second.filter("route = 'journal'"))
     better = second.filter("route = 'title_author' AND status = 'found'")

@@ -87,11 +87,14 @@ def apply_batch(
     default_source: str = "crossref",
 ) -> None:
     """Write the changes of one batch: works, search records, mark and metrics."""
-    parsed = parse_works(batch).withColumns(
-        {
-            "source": F.coalesce("source", F.lit(default_source)),
-            "seq": F.monotonically_increasing_id(),
-        }
+    # the place of a line: file, split and order within the split
+    known = {"file": F.lit(""), "part": F.lit(0)} | {c: F.col(c) for c in ("file", "part") if c in batch.columns}
+    place = F.struct(
+        known["file"].alias("file"), known["part"].cast("long").alias("part"),
+        F.monotonically_increasing_id().alias("line"),
+    )
+    parsed = parse_works(batch.select("value", place.alias("seq"))).withColumn(
+        "source", F.coalesce("source", F.lit(default_source))
     )
     parsed = parsed.persist()
     try:
@@ -145,7 +148,10 @@ def stream_work_updates(
     if clean:
         reader = reader.option("cleanSource", "delete")
     writer = (
-        reader.load(landing).writeStream
+        reader.load(landing).select(
+            "value", F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("part"),
+        ).writeStream
         .option("checkpointLocation", checkpoint)
         .foreachBatch(lambda batch, batch_id: apply(batch, batch_id, root, **options))
     )
