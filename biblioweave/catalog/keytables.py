@@ -118,16 +118,16 @@ def build_istex_maps(t: Tables):
 @query(
     "K6_add_missing_istex",
     """SELECT o_custkey AS key, 'old' AS origin, o_orderkey FROM orders WHERE o_orderstatus = 'F'
-    UNION ALL SELECT o_custkey, 'new', o_orderkey FROM orders WHERE o_orderstatus = 'P'
+    UNION ALL SELECT o_custkey, 'new', o_orderkey FROM orders WHERE o_orderstatus <> 'F'
         AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""",
 )
 def add_missing_istex(t: Tables):
-    def rows(status, origin):
-        return t.orders.filter(F.col("o_orderstatus") == status).select(
+    def rows(chosen, origin):
+        return t.orders.filter(chosen).select(
             F.col("o_custkey").alias("key"), F.lit(origin).alias("origin"), "o_orderkey"
         )
 
-    return K.add_missing_istex(rows("F", "old"), rows("P", "new"))
+    return K.add_missing_istex(rows("o_orderstatus = 'F'", "old"), rows("o_orderstatus <> 'F'", "new"))
 
 
 @query(

@@ -206,9 +206,10 @@ def evaluate_matching(t: Tables):
 
 
 def inner_tokens(t: Tables):
-    """Passage tokens that are whole words in any text around the passage."""
+    """Passage tokens that are whole words in any text around the passage: all but
+    the first and last, which may be parts of longer words, unless there are no others."""
     words = analyze(F.col("biblio"), "words_stop")
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    inner = F.when(F.size(words) > 2, F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))).otherwise(words)
     return passages(t).select("req_id", F.explode(F.array_distinct(inner)).alias("token"))
 
 

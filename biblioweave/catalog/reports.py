@@ -18,7 +18,7 @@ S = T.S
 @query(
     "A4_table_sizes",
     f"""WITH {T.PMID_SQL}, {T.ISTEX_SQL}, {T.OA_SQL}
-    SELECT 'works' AS table_name, count(*) AS n_rows FROM customer WHERE c_acctbal >= 0
+    SELECT 'works' AS table_name, count(*) AS n_rows FROM customer
     UNION ALL SELECT 'pmid_by_doi', count(*) FROM by_doi
     UNION ALL SELECT 'istex_by_doi', count(*) FROM istex_by_doi
     UNION ALL SELECT 'oa_links', count(*) FROM oa""",

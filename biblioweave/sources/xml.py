@@ -19,6 +19,7 @@ from biblioweave.functions.text import (
     clean_reference_string, not_blank, null_if_blank, strip_markup,
 )
 from biblioweave.schemas import BIBLIO
+from biblioweave.sources.works import place_of
 
 _TEXT = "_VALUE:string"
 _DATE = "struct<Year:string,Month:string,Day:string>"
@@ -274,9 +275,14 @@ HAL_TEI = f"""
 """
 
 
+# Elements that mark up words within a title or a name.
+INLINE_TAGS = r"</?(?:hi|i|b|u|em|emph|strong|italic|bold|sub|sup|sc)(?:\s[^<>]*)?/?>"
+
+
 def _parse_xml(c: Column, schema: str) -> Column:
+    """The fields of TEI text; inline markup is taken away first, its words stay."""
     return F.from_xml(
-        c, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "attributePrefix": "_"}
+        F.regexp_replace(c, INLINE_TAGS, ""), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad", "attributePrefix": "_"}
     )
 
 
@@ -391,16 +397,32 @@ def parse_hal_tei(df: DataFrame, col: str, *, keep: tuple[str, ...] = ()) -> Dat
     )
 
 
-def read_hal_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``biblio`` rows of landed repository response pages that carry an id."""
+def hal_page_records(spark: SparkSession, path: str) -> DataFrame:
+    """All records of landed repository response pages, with ``invalid`` for those
+    that cannot be parsed or carry no repository id, and ``seq``, their place."""
     docs = (
         spark.read.schema("response struct<docs:array<struct<label_xml:string>>>")
         .option("multiLine", True)
         .json(path)
-        .select(F.explode("response.docs").alias("doc"))
-        .select("doc.label_xml")
+        .select(
+            place_of(F.lit(0), F.lit(0)).alias("seq"), F.posexplode("response.docs").alias("line", "doc")
+        )
+        .select("doc.label_xml", F.col("seq").withField("line", F.col("line").cast("long")).alias("seq"))
+    )
+    rows = parse_hal_tei(docs, "label_xml", keep=("seq",))
+    return rows.withColumn("invalid", ~not_blank(F.col("hal_id")) | F.col("hal_id").isNull())
+
+
+def read_hal_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``biblio`` rows of landed repository response pages that carry an id."""
+    return hal_page_records(spark, path).filter(~F.col("invalid")).drop("invalid")
+
+
+def count_hal_pages(spark: SparkSession, path: str) -> DataFrame:
+    """One row: how many records of the pages are accepted, and how many are invalid."""
+    return hal_page_records(spark, path).agg(
+        F.count_if(~F.col("invalid")).alias("accepted"), F.count_if(F.col("invalid")).alias("invalid")
     )
-    return parse_hal_tei(docs, "label_xml").filter(not_blank(F.col("hal_id")))
 
 
 def read_oai_pmh_pages(spark: SparkSession, path: str) -> DataFrame:

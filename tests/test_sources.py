@@ -113,11 +113,11 @@ def test_load_dump(spark, tmp_path):
 def test_pmid_map(spark, tmp_path):
     write(
         tmp_path / "ids.csv",
-        'PMID,PMCID,DOI\n9999996,,"https://doi.org/10.1103/physrevb.44.3678"\n1,PMC1,"10.1/X"\n2,PMC2,\n3,a,b,c\n4\n',
+        'PMID,PMCID,DOI\n7300001,,"https://doi.org/10.5555/own.fixture.7"\n1,PMC1,"10.1/X"\n2,PMC2,\n3,a,b,c\n4\n',
     )
     got = {r.pmid: (r.pmcid, r.doi) for r in idfiles.read_pmid_map(spark, str(tmp_path / "ids.csv")).collect()}
     assert got == {
-        "9999996": (None, "10.1103/physrevb.44.3678"), "1": ("PMC1", "10.1/X"), "2": ("PMC2", None),
+        "7300001": (None, "10.5555/own.fixture.7"), "1": ("PMC1", "10.1/X"), "2": ("PMC2", None),
         "4": (None, None),
     }
 
@@ -171,7 +171,7 @@ MONOGRAPH = """<biblStruct ><monogr><author><persName xmlns="http://www.tei-c.or
 
 def test_parsed_citations(spark):
     df = spark.createDataFrame(
-        [("a", CITATION.replace("<hi>", "").replace("</hi>", "")), ("m", MONOGRAPH), ("bad", "<biblStruct><x>"), ("none", None)],
+        [("a", CITATION), ("m", MONOGRAPH), ("bad", "<biblStruct><x>"), ("none", None)],
         "req_id string, tei string",
     )
     got = {r.req_id: tuple(r)[2:] for r in xml.parse_citation_tei(df, "tei").collect()}
@@ -378,3 +378,50 @@ def test_search_record_rules(spark, tmp_path):
     records = R.build_search_records(works.read_works_jsonl(spark, str(tmp_path / "w.json")))
     assert [(r.id, r.bibliographic) for r in records.collect()] == [("hal:h", "T")]
     assert F is not None
+
+
+def test_packed_files_are_told_apart_by_their_first_two_lines(spark, tmp_path):
+    nested = json.dumps({"DOI": "10.1/n", "license": {"items": [1]}})
+    write(tmp_path / "one.json.xz", nested + "\n", lzma.open)
+    write(tmp_path / "two.json.xz", nested + "\n" + nested.replace("10.1/n", "10.1/m") + "\n", lzma.open)
+    late = '{"note": "' + "x" * 400 + '",\n"items" : [' + json.dumps({"DOI": "10.1/late1"}) + ",\n" + json.dumps({"DOI": "10.1/late2"}) + "]}"
+    write(tmp_path / "late.json.xz", late, lzma.open)
+    found = lambda name: sorted(r.doi for r in works.read_works(spark, str(tmp_path / name)).collect())
+    assert found("one.json.xz") == ["10.1/n"]
+    assert found("two.json.xz") == ["10.1/m", "10.1/n"]
+    assert [d[-5:] for d in found("late.json.xz")] == ["late1", "late2"]
+
+
+def test_later_rows_win(spark, tmp_path):
+    write(tmp_path / "ids.csv", "9,,10.1/x\n10,,10.1/x\n")
+    maps = tables.build_pmid_maps(idfiles.read_pmid_map(spark, str(tmp_path / "ids.csv")))
+    assert maps["doi"].collect()[0].pmid == "10"
+    write(tmp_path / "oa.tsv", "z-old\tc\tPMC1\tx\tp\na-new\tc\tPMC1\tx\tp\n")
+    ids = spark.createDataFrame(
+        [("1", "PMC1", None, None, None)], "pmid string, pmcid string, doi string, license string, subpath string"
+    )
+    files = idfiles.read_oa_file_list(spark, str(tmp_path / "oa.tsv"))
+    assert tables.enrich_pmid_with_oa_files(ids, files).collect()[0].license == "a-new"
+
+
+def test_records_keep_their_order(spark, tmp_path):
+    write(tmp_path / "b.json", lines([{"DOI": "10.1/same"}, {"DOI": "10.1/other"}]))
+    write(tmp_path / "a.json", lines([{"DOI": "10.1/same"}] * 2))
+    rows = works.read_works_jsonl(spark, str(tmp_path)).orderBy("seq").collect()
+    assert [r.seq.file[-6:] for r in rows] == ["a.json", "a.json", "b.json", "b.json"]
+    assert [r.doi[-5:] for r in rows[2:]] == ["/same", "other"]
+
+
+def test_references_of_records_without_pmid_are_filled(spark):
+    reference = "unstructured string, pmid string, doi string, pmc string, pii string"
+    rows = spark.createDataFrame(
+        [(None, [(None, "5", None, None, None)]), (None, [(None, None, "10.1/y", None, None)] * 2), ("8", None)],
+        f"pmid string, `references` array<struct<{reference.replace(' string', ': string')}>>",
+    )
+    ids = spark.createDataFrame(
+        [("5", "PMC5", "10.1/x"), ("6", "PMC6", "10.1/y")], "pmid string, pmcid string, doi string"
+    )
+    got = tables.fill_reference_ids(rows, tables.build_pmid_maps(ids)).collect()
+    filled = sorted([(x.pmid, x.doi, x.pmc) for x in r["references"]] for r in got if r["references"])
+    assert filled == [[("5", "10.1/x", "PMC5")], [("6", "10.1/y", "PMC6")] * 2]
+    assert len(got) == 3
