@@ -45,6 +45,14 @@ def carried(docs: DataFrame, text: str, keep: list[str] | None = None) -> DataFr
     return docs.select(F.struct(*(keep or docs.columns)).alias("row"), F.col(text).alias("text"))
 
 
+def with_new_text(df: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """The columns of ``_row`` with the text from ``_clean``, and n_chars renewed if it is among them."""
+    row = F.col("_row").withField(text, F.col("_clean"))
+    if "n_chars" in columns:
+        row = row.withField("n_chars", F.length("_clean").cast("long"))
+    return df.select(row.alias("_row")).select("_row.*")
+
+
 def folding(lower_all: bool) -> np.ndarray:
     """Code of each code point for hashing: 0 for white space, lower case for all letters or only A to Z."""
     codes = np.arange(1, 0x110001, dtype=np.uint64)

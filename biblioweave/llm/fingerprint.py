@@ -94,16 +94,20 @@ def with_likeness(df: DataFrame, one: str, other: str, name: str) -> DataFrame:
 BUCKETS = 256
 
 
-def with_next(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """``docs`` with _text, _chosen (its fingerprint), next_text and next_chosen: those of the next row by
-    descending id, and of the first row after the last.
+def with_next(docs: DataFrame, doc_id="doc_id", text="text", keep: list[str] | None = None) -> DataFrame:
+    """row (all columns of ``docs``), _text, _chosen (its fingerprint), next_text and next_chosen: those of the
+    next row by descending id, and of the first row after the last.
 
     Rows are dealt to ranges of ids whose bounds are ids themselves (at most
     BUCKETS numbers).  The row that begins a range is also sent to the range
     before it, so each range finds its last row's successor on its own.  Equal
     ids are ordered by text; null ids come last.
     """
-    placed = docs.withColumns({"_order": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))), "_text": whole(F.col(text))})
+    placed = docs.select(
+        F.struct(*(keep or docs.columns)).alias("row"),
+        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("_order"),
+        whole(F.col(text)).alias("_text"),
+    )
     shares = [i / BUCKETS for i in range(1, BUCKETS)]
     row = placed.agg(F.max("_order").alias("top"), F.percentile_approx("_order", shares, 10_000).alias("bounds")).first()
     if row["top"] is None:
@@ -128,10 +132,10 @@ def with_next(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
     return dealt.withColumns(following).where("_home.home").drop("_home", "_order")
 
 
-def compare_edited(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """Each row with n_chars, edited_text (its last third replaced by the start of the next text), the
+def compare_edited(docs: DataFrame, doc_id="doc_id", text="text", keep: list[str] | None = None) -> DataFrame:
+    """row (the columns in ``keep``, or all) with n_chars, edited_text (its last third replaced by the start of the next text), the
     fingerprints of both, and the likeness of its own to the edited one's and to the next document's."""
-    rows = with_next(docs, doc_id, text).withColumn("n_chars", F.length("_text").cast("long"))
+    rows = with_next(docs, doc_id, text, keep).withColumn("n_chars", F.length("_text").cast("long"))
     rows = rows.withColumn("_third", F.floor(F.col("n_chars") / 3).cast("int"))
     rows = rows.withColumn(
         "edited_text", F.concat(F.left("_text", (F.col("n_chars") - F.col("_third")).cast("int")), F.left("next_text", F.col("_third")))

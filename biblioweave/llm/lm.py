@@ -247,7 +247,7 @@ def score(docs: DataFrame, learn: Column, tune: Column, doc_id="doc_id", text="t
     tuning_replies = replies.where(F.col("block") >= firsts[_TUNE]).groupBy("block")
     histogram = from_tuning.cogroup(tuning_replies).applyInArrow(levels, "bucket long, pair long, token long, n long")
     rows = histogram.groupBy("bucket", "pair", "token").agg(F.sum("n").alias("n")).collect() if tuned else []
-    weights = mixture([tuple(r) for r in sorted(rows)], uniform)
+    weights = mixture([tuple(r) for r in sorted(rows)], uniform) if total else np.tile([0.0, 0.0, 1.0], (BUCKETS, 1))
 
     kinds = [("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()), ("base_score", T.DoubleType()), ("score", T.DoubleType())]
     schema = T.StructType([dealt.schema["row"], *(T.StructField(*k) for k in kinds)])

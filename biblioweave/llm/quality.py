@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from biblioweave.llm.common import SPACE, whole, words
+from biblioweave.llm.common import SPACE, whole, with_new_text, words
 from biblioweave.session import materialise
 
 MIN_WORDS = 20
@@ -171,11 +171,12 @@ def quality_rules(docs: DataFrame, doc_id="doc_id", text="text", host="source",
 
 def clean_documents(docs: DataFrame, doc_id="doc_id", text="text", host="source", **limits) -> DataFrame:
     """The kept documents without their boilerplate lines; columns as given, n_chars renewed if there."""
-    columns = docs.columns
     same = ["_id", "_host", "_key"]
     lost = materialise(frequent_lines(docs, doc_id, text, host, **limits), "boilerplate-lines")
     gone = lost.groupBy(*same).agg(F.collect_set("_hash").alias("_gone"))
-    counts = base_counts(_keyed(docs, doc_id, text, host), "_text")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), *[F.col(c).alias(f"_given_{i}") for i, c in enumerate((doc_id, text, host))])
+    keyed = _keyed(packed, "_given_0", "_given_1", "_given_2").select("_row", *same, "_text")
+    counts = base_counts(keyed, "_text")
     joined = counts.join(gone, same, "left")
     lines = F.split("_text", "\n")
     left = F.filter(lines, lambda x: ~((F.size(words(x)) <= LINE_WORDS) & F.array_contains("_gone", F.xxhash64(normal_line(x)))))
@@ -183,6 +184,5 @@ def clean_documents(docs: DataFrame, doc_id="doc_id", text="text", host="source"
     # judged in one pass and written, since a filter above the counts would be computed from the text again
     judged = joined.withColumn("_clean", kept)
     stays = ~F.col("base_failed") & (F.size(words(F.col("_clean"))) >= (1 - DEPLETED_SHARE) * F.col("n_words"))
-    renewed = {text: F.col("_clean")} | ({"n_chars": F.length("_clean").cast("long")} if "n_chars" in columns else {})
-    judged = judged.select(F.struct(*[renewed.get(c, F.col(c)).alias(c) for c in columns]).alias("row"), stays.alias("stays"))
-    return materialise(judged, "judged-documents").where("stays").select("row.*")
+    judged = materialise(judged.select("_row", "_clean", stays.alias("_stays")), "judged-documents").where("_stays")
+    return with_new_text(judged, docs.columns, text)

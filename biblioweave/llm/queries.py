@@ -81,9 +81,9 @@ def op2(spark, folder):
 
 @query("op5_fingerprints")
 def op5(spark, folder):
-    found = fingerprint.compare_edited(table(spark, folder, "documents").select("doc_id", "text"))
+    found = fingerprint.compare_edited(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select(
-        "doc_id", "n_chars", _sha("edited_text").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
+        "row.doc_id", "n_chars", _sha("edited_text").alias("edited_sha256"), "fingerprint", "edited_fingerprint", "near_edited", "near_next"
     )
 
 
