@@ -3,6 +3,8 @@
 from biblioweave.functions.dates import PARTIAL_DATE
 from biblioweave.functions.mesh import MESH_CLASS
 
+# The member names of the file formats that are read.
+
 AUTHOR = (
     "struct<given:string,family:string,sequence:string,ORCID:string,"
     "affiliation:array<struct<name:string>>>"

@@ -60,6 +60,13 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch
 
 
+def scratch_path(spark: SparkSession, label: str) -> str:
+    """A new path for an intermediate table or landed files, deleted by ``release_scratch``."""
+    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet in the scratch folder and read it back.
 
@@ -67,8 +74,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     survives the loss of executors and gives the planner real sizes.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append(path)
+    path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

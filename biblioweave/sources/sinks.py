@@ -34,8 +34,12 @@ def write_report_tsv(df: DataFrame, path: str) -> None:
 
 
 def write_classes_csv(df: DataFrame, path: str, *, level: str = "level") -> None:
-    """One folder of CSV files with header per class."""
-    df.write.mode("overwrite").partitionBy(level).option("header", True).option(
+    """One folder of CSV files with header per class.
+
+    Rows are dealt by class first, so a class is in few files; a class too large
+    for one task is split by adaptive execution.
+    """
+    df.hint("rebalance", level).write.mode("overwrite").partitionBy(level).option("header", True).option(
         "escape", '"'
     ).csv(path)
 
