@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import bpe, fingerprint, html, language, lm, neardup, packing, privacy, quality, toxicity
+from biblioweave.llm import bpe, fingerprint, html, language, lm, neardup, oracles, packing, privacy, quality, toxicity
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -33,7 +33,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op8_quality_rules")
+@query("op8_quality_rules", oracles.QUALITY)
 def op8(spark, folder):
     return quality.quality_rules(table(spark, folder, "documents"))
 
@@ -79,7 +79,7 @@ def op2(spark, folder):
     return packed(table(spark, folder, "documents").select("doc_id", "source", "text"))
 
 
-@query("op5_fingerprints")
+@query("op5_fingerprints", oracles.FINGERPRINTS)
 def op5(spark, folder):
     found = fingerprint.compare_edited(table(spark, folder, "documents").select("doc_id", "text"), keep=["doc_id"])
     return found.select(
