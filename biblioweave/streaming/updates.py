@@ -71,13 +71,42 @@ def current_rows(
 
 
 def compact(spark: SparkSession, table: str, *, key: str, by_arrival: bool = False) -> None:
-    """Write the current rows as a new base; older folders stay until removed."""
+    """Write the current rows as a new base; older folders stay until pruned."""
     batches = _partitions(spark, f"{table}/changes", "batch")
     if batches:
         rows = current_rows(spark, table, key=key, by_arrival=by_arrival)
         rows.write.mode("overwrite").parquet(f"{table}/base/upto={batches[-1]}")
 
 
+def prune(spark: SparkSession, table: str) -> None:
+    """Delete what the base before the newest one covers, and older bases.
+
+    Readers that began with the base before may still use the changes after it.
+    """
+    bases = _partitions(spark, f"{table}/base", "upto")
+    if len(bases) < 2:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    covered = [b for b in _partitions(spark, f"{table}/changes", "batch") if b <= bases[-2]]
+    gone = [f"{table}/changes/batch={b}" for b in covered] + [f"{table}/base/upto={b}" for b in bases[:-2]]
+    for folder in gone:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def _apply_and_compact(apply, every: int, by_arrival: bool, root: str, options: dict):
+    """Batches applied by ``apply``; each ``every`` of them become a new base."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        apply(batch, batch_id, root, **options)
+        if every and (batch_id + 1) % every == 0:
+            for name, key in (("works", "doi"), ("search", "id")):
+                compact(batch.sparkSession, f"{root}/{name}", key=key, by_arrival=by_arrival)
+                prune(batch.sparkSession, f"{root}/{name}")
+
+    return run
+
+
 def apply_batch(
     batch: DataFrame,
     batch_id: int,
@@ -133,11 +162,15 @@ def stream_work_updates(
     clean: bool = False,
     once: bool = True,
     apply: Callable[..., None] = apply_batch,
+    compact_every: int = 0,
+    by_arrival: bool = False,
     **options,
 ) -> StreamingQuery:
     """Apply landed update files as upserts while the tables stay readable.
 
-    ``clean`` deletes applied files.  With ``once`` the query stops after the
+    ``clean`` deletes applied files.  ``compact_every`` batches the changes are
+    merged into a new base (by index date, or ``by_arrival``) and what it covers
+    is deleted, so a reader opens at most twice as many folders.  With ``once`` the query stops after the
     files that are there.
     """
     reader = spark.readStream.format("text").option("pathGlobFilter", files).option(
@@ -153,7 +186,7 @@ def stream_work_updates(
             F.col("_metadata.file_block_start").alias("part"),
         ).writeStream
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, batch_id: apply(batch, batch_id, root, **options))
+        .foreachBatch(_apply_and_compact(apply, compact_every, by_arrival, root, options))
     )
     return writer.trigger(availableNow=True).start() if once else writer.start()
 

@@ -88,3 +88,14 @@ def test_windows_and_marks(spark, tmp_path):
     assert U.read_high_water_mark(spark, path).collect()[0][0].day == 2
     U.persist_high_water_mark(mark, path, run_finished=True)
     assert U.read_high_water_mark(spark, path).collect()[0][0].year > 2024
+
+
+def test_many_batches_leave_few_folders(spark, tmp_path):
+    day = tmp_path / "landing"
+    for i in range(9):
+        land(day, f"D{i}.json.gz", work(f"10.1/x{i % 4}", str(i), f"2024-01-{i + 1:02d}T00:00:00Z"))
+    run(spark, tmp_path, files_per_batch=1, compact_every=2)
+    table = tmp_path / "t" / "works"
+    assert len(list((table / "changes").glob("batch=*"))) <= 4
+    assert len(list((table / "base").glob("upto=*"))) <= 2
+    assert volumes(spark, tmp_path) == {"10.1/x0": "8", "10.1/x1": "5", "10.1/x2": "6", "10.1/x3": "7"}
