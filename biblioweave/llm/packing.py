@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from fractions import Fraction
@@ -39,12 +40,41 @@ SEQUENCE_TOKENS = 2048
 END_ID = 1
 MAX_QUEUES = 64
 PARTS_PER_BLOCK = 256
-MEMO_ENTRIES = 500_000
+WORD_ENTRIES, CHUNK_ENTRIES = 600_000, 400_000
 
 # Lower-case words of the Latin-1 range and what may follow them: tokenised apart, as the tokenizer does.
 _PLAIN = re.compile("([a-zß-öø-ÿ]+)([.,;:!?]*)")
 
 
+class Memo(dict):
+    """A dictionary of bounded size: what was not asked for since it last filled up is forgotten."""
+
+    def __init__(self, size: int):
+        super().__init__()
+        self.size, self.old = size, {}
+
+    def find(self, key):
+        known = self.get(key)
+        if known is None:
+            known = self.old.get(key)
+            if known is not None:
+                self.put(key, known)
+        return known
+
+    def put(self, key, value):
+        if len(self) >= self.size:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+def _byte_names() -> dict[int, str]:
+    """The character that stands for each byte in byte-level vocabularies, keyed for str.translate."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordTokenizer:
     """Ids of texts by a tokenizer that drops white space, each word tokenised once and remembered."""
 
@@ -54,33 +84,47 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_buffer(data)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.names = self.tokenizer.model, _byte_names()
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self._memo: dict[str, bytes] = {}
+        self.code = "H" if self.kind == "<u2" else "I"
+        self._words, self._chunks = Memo(WORD_ENTRIES), Memo(CHUNK_ENTRIES)
 
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+        return array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _part(self, text: str) -> bytes:
-        memo = self._memo
-        known = memo.get(text)
+    def _word(self, word: str) -> bytes:
+        """Ids of a plain word, which normalising and splitting leave as it is."""
+        known = self._words.find(word)
         if known is None:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            low = text.lower()
-            if low != text and _PLAIN.fullmatch(low):
-                known = self._part(low)
-            elif (plain := _PLAIN.fullmatch(text)) and plain[2]:
-                known = self._part(plain[1]) + self._part(plain[2])
-            else:
+            merged = self.model.tokenize(word.encode().decode("latin-1").translate(self.names))
+            known = array(self.code, [t.id for t in merged]).tobytes()
+            if len(word) <= 64:
+                self._words.put(word, known)
+        return known
+
+    def _chunk(self, text: str) -> bytes:
+        known = self._chunks.find(text)
+        if known is None:
+            plain = _PLAIN.fullmatch(text.lower())
+            if plain is None:
                 known = self._ids(text)
+            else:
+                mark = plain[2]
+                known = self._word(plain[1])
+                if mark:
+                    after = self._words.find(mark)
+                    if after is None:
+                        after = self._ids(mark)
+                        self._words.put(mark, after)
+                    known += after
             if len(text) <= 64:
-                memo[text] = known
+                self._chunks.put(text, known)
         return known
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian integers of ``kind``.  No token spans a space or line feed."""
-        memo, part = self._memo.get, self._part
-        return b"".join([memo(x) or part(x) for x in text.replace("\n", " ").split(" ") if x])
+        known, chunk = self._chunks.get, self._chunk
+        return b"".join([known(x) or chunk(x) for x in text.replace("\n", " ").split(" ") if x])
 
 
 def tokenise(docs: DataFrame, tokenizer_file: str, end_id: int, doc_id, text, source) -> tuple[DataFrame, str]:
