@@ -235,7 +235,7 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
 
 
 def test_rounds_with_new_centres_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "PAIRS_PER_TEXT", 0.05)
+    monkeypatch.setattr(neardup, "PAIRS_PER_TEXT", 0.02)
     rng = random.Random(2)
     texts = []
     for _ in range(6):  # chains: each text is near the one before it only
@@ -256,7 +256,7 @@ def test_samples_agree_as_often_as_texts_are_similar():
     for _ in range(40):
         cut = rng.randint(5, 60)
         one, other = " ".join(words), " ".join(words[:-cut] + [f"z{rng.random()}" for _ in range(cut)])
-        bands = sampler.bands([one, other])
+        bands, _ = sampler.bands([one, other])
         agree.append((bands[0] == bands[1]).mean())
         wanted.append(neardup.similarity(one, other, weights) ** neardup.BAND_ROWS)
     assert np.mean(agree) == pytest.approx(np.mean(wanted), abs=0.06)
