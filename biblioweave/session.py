@@ -79,11 +79,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Delete the scratch tables of this process, once no result needs them."""
+def release_scratch(spark: SparkSession, labels: tuple[str, ...] | None = None) -> None:
+    """Delete the scratch tables of this process (only those with one of ``labels``), once no result needs them."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    chosen = [p for p in _written if labels is None or p.rsplit("/", 1)[1].rsplit("-", 1)[0] in labels]
+    for done in chosen:
+        _written.remove(done)
+        path = jvm.org.apache.hadoop.fs.Path(done)
         path.getFileSystem(conf).delete(path, True)
 
 
