@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from biblioweave.llm import language, neardup, packing, privacy, quality
-from biblioweave.session import materialise, tune
+from biblioweave.session import materialise, release_scratch, tune
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,6 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be determined go."""
+    release_scratch(spark, ("judged-documents",))  # the stage before is written
     return language.keep_identified(docs)
 
 
@@ -35,6 +36,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced by its kind, and so are terms that disclose it."""
+    release_scratch(spark, ("involved-texts",))  # the stage before is written
     return privacy.sanitise(docs)
 
 
