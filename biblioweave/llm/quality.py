@@ -1,18 +1,21 @@
 """Quality rules: base counts of a text and cross-document line frequency.
 
-Lines are normalised and hashed; a line found in more distinct documents of a
-host than the limit allows is boilerplate and is removed, and a document that
-loses nearly all of its words is rejected.  Only DataFrame functions are used.
+Lines of any length are normalised and hashed; a line found in more distinct
+documents of a host than the limit allows is boilerplate and is removed, and a
+document that loses nearly all of its words is rejected.  Only DataFrame
+functions are used.
 
 Null text: no words, rejected.  Null host: one host of its own.  Copies of a
-text count once per host, so a group of exact copies never makes its own lines
-frequent; a line whose neighbours are mostly the same everywhere belongs to near
-copies of one document and is left to deduplication.  Equal rows get equal
-results.  An empty table gives an empty result.
+text count once per host, and so do near copies, so a group of them never makes
+its own lines frequent.  Near copies are told by whole texts: ``SKETCH`` min-hashes
+of four-word windows, of which one band is equal and ``ALIKE`` of all are.
+Equal rows get equal results.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,19 +26,25 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 WINDOW_WORDS = 8
 # A line is boilerplate beyond this share of its host's distinct documents, and
-# beyond this number of them; longer lines are passages, not boilerplate.
+# beyond this number of them.
 LINE_SHARE = 0.005
 LINE_DOCS = 20
-LINE_WORDS = 40
 DEPLETED_SHARE = 0.8
+# Near copies: min-hashes of a text in bands, and how many of two sketches are equal.
+SKETCH_BANDS, SKETCH_ROWS = 6, 4
+SKETCH = SKETCH_BANDS * SKETCH_ROWS
+ALIKE = 16
+_random = random.Random(5)
+# The least hash after exclusive or with each of these is a min-hash of its own: their highest bits differ.
+_MASKS = [((j << 59) | _random.getrandbits(59)) - (1 << 63) for j in range(SKETCH)]
 
 
-def _with_windows(df: DataFrame, name: str) -> DataFrame:
+def _with_windows(df: DataFrame, name: str, doubling: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
     """The word hashes in column ``name`` replaced by hashes of eight words, by doubling.
 
     Each step is a projection of its own, so that no array is computed twice.
     """
-    for by in (1, 2, 4):
+    for by in doubling:
         keep = F.greatest(F.size(name) - by, F.lit(0))
         pair = F.zip_with(F.slice(name, F.lit(1), keep), F.slice(name, F.lit(by + 1), keep), lambda a, b: F.xxhash64(a, b))
         df = df.withColumn(name, pair)
@@ -115,39 +124,46 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 
 
 def _line_rows(keyed: DataFrame) -> DataFrame:
-    """One row per line with a word: where it stands, its hash and those of its neighbours."""
+    """One row per line with a word: its text's key, its hash and its number of words."""
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    hashed = keyed.select("_id", "_host", "_key", lines.alias("_lines")).withColumn(
-        "_hashes", F.transform("_lines", lambda x: F.xxhash64(normal_line(x)))
-    )
-    rows = hashed.select("_id", "_host", "_key", "_hashes", F.posexplode("_lines").alias("_at", "_line"))
-    return rows.select(
-        "_id",
-        "_host",
-        "_key",
-        F.get("_hashes", F.col("_at")).alias("_hash"),
-        F.get("_hashes", F.col("_at") - 1).alias("_before"),
-        F.get("_hashes", F.col("_at") + 1).alias("_after"),
-        F.size(words(F.col("_line"))).alias("_n"),
-    )
+    rows = keyed.select("_id", "_host", "_key", F.explode(lines).alias("_line"))
+    return rows.select("_id", "_host", "_key", F.xxhash64(normal_line(F.col("_line"))).alias("_hash"), F.size(words(F.col("_line"))).alias("_n"))
+
+
+def _classes(keyed: DataFrame) -> DataFrame:
+    """_host, _key and _class of each text of ``keyed``: near copies mostly share a class.
+
+    A text joins the least key of each of its bands if their whole sketches are alike.
+    """
+    once = keyed.dropDuplicates(["_host", "_key"]).select("_host", "_key", F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_windows"))
+    windows = _with_windows(once, "_windows", (1, 2))
+    windows = windows.withColumn("_windows", F.when(F.size("_windows") > 0, F.col("_windows")).otherwise(F.array("_key")))
+    least = F.transform(F.array(*map(F.lit, _MASKS)), lambda m: F.array_min(F.transform("_windows", lambda x: x.bitwiseXOR(m))))
+    sketched = materialise(windows.select("_host", "_key", least.alias("_sketch")), "line-sketches")
+    bands = F.array(*[F.xxhash64(F.lit(k), F.slice("_sketch", k * SKETCH_ROWS + 1, SKETCH_ROWS)) for k in range(SKETCH_BANDS)])
+    placed = sketched.select("_host", "_key", "_sketch", F.explode(bands).alias("_band"))
+    centres = placed.groupBy("_host", "_band").agg(F.min(F.struct("_key", "_sketch")).alias("_centre"))
+    same = F.aggregate(F.zip_with("_sketch", "_centre._sketch", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
+    near = F.when(same >= ALIKE, F.col("_centre._key")).otherwise(F.col("_key"))
+    return placed.join(centres, ["_host", "_band"]).groupBy("_host", "_key").agg(F.min(near).alias("_class"))
 
 
 def frequent_lines(docs: DataFrame, doc_id="doc_id", text="text", host="source", line_share=LINE_SHARE, line_docs=LINE_DOCS) -> DataFrame:
     """Every occurrence of a boilerplate line: _id, _host, _key, _hash, _n (its words)."""
     keyed = _keyed(docs, doc_id, text, host)
-    rows = _line_rows(keyed).where(F.col("_n") <= LINE_WORDS)
+    rows = _line_rows(keyed)
     hosts = keyed.groupBy("_host").agg(F.count_distinct("_key").alias("_docs"))
     often = rows.groupBy("_host", "_hash").agg(F.count_distinct("_key").alias("_in")).where(F.col("_in") > line_docs)
     over = materialise(
-        often.join(hosts, "_host").where(F.col("_in") > line_share * F.col("_docs")).select("_host", "_hash", "_in"),
+        often.join(hosts, "_host").where(F.col("_in") > line_share * F.col("_docs")).select("_host", "_hash", "_docs"),
         "frequent-lines",
     )
     hits = materialise(rows.join(over, ["_host", "_hash"]), "frequent-line-places")
-    around = hits.groupBy("_host", "_hash", "_in").agg(
-        F.count_distinct("_before").alias("_b"), F.count_distinct("_after").alias("_a")
-    )
-    varied = around.where(2 * F.greatest("_b", "_a") > F.col("_in")).select("_host", "_hash")
-    return hits.join(varied, ["_host", "_hash"], "left_semi").select("_id", "_host", "_key", "_hash", "_n")
+    texts = hits.select("_host", "_key").distinct()
+    classes = _classes(keyed.join(texts, ["_host", "_key"], "left_semi"))
+    distinct = hits.join(classes, ["_host", "_key"]).groupBy("_host", "_hash", "_docs").agg(F.count_distinct("_class").alias("_in"))
+    spread = distinct.where((F.col("_in") > line_docs) & (F.col("_in") > line_share * F.col("_docs"))).select("_host", "_hash")
+    return hits.join(spread, ["_host", "_hash"], "left_semi").select("_id", "_host", "_key", "_hash", "_n")
 
 
 def quality_rules(docs: DataFrame, doc_id="doc_id", text="text", host="source", depleted_share=DEPLETED_SHARE, **limits) -> DataFrame:
@@ -179,7 +195,7 @@ def clean_documents(docs: DataFrame, doc_id="doc_id", text="text", host="source"
     counts = base_counts(keyed, "_text")
     joined = counts.join(gone, same, "left")
     lines = F.split("_text", "\n")
-    left = F.filter(lines, lambda x: ~((F.size(words(x)) <= LINE_WORDS) & F.array_contains("_gone", F.xxhash64(normal_line(x)))))
+    left = F.filter(lines, lambda x: ~F.array_contains("_gone", F.xxhash64(normal_line(x))))
     kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
     # judged in one pass and written, since a filter above the counts would be computed from the text again
     judged = joined.withColumn("_clean", kept)
