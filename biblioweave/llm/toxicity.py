@@ -26,11 +26,10 @@ from pyspark.sql import types as T
 
 from biblioweave.llm.common import carried, steps, texts
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 WORD_SIZE, CHAR_SIZE, HIDDEN = 8, 8, 8
 GRAMS = 1 << 14
 CLEAR = 2.6
-_SLOTS = 1 << 16
 _POWERS = np.cumprod(np.full(64, 6364136223846793005, np.uint64), dtype=np.uint64)
 
 
@@ -102,11 +101,8 @@ class Network:
         rng = np.random.default_rng(seed)
         normal = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
         size = WORD_SIZE + CHAR_SIZE
-        self.slots = np.zeros(_SLOTS, np.uint64)
-        self.slot_ids = np.zeros(_SLOTS, np.int64)
-        slot = (vocabulary >> np.uint64(48)).astype(np.int64)
-        self.slots[slot] = vocabulary
-        self.slot_ids[slot] = np.arange(1, len(vocabulary) + 1)
+        self.order = np.argsort(vocabulary)
+        self.sorted = vocabulary[self.order]
         self.p = {
             "word": normal(len(vocabulary) + 1, WORD_SIZE, scale=0.1),
             "char": normal(GRAMS, CHAR_SIZE, scale=0.1),
@@ -125,8 +121,10 @@ class Network:
         self.shift = 0.0
 
     def word_ids(self, hashes: np.ndarray) -> np.ndarray:
-        slot = (hashes >> np.uint64(48)).astype(np.int64)
-        return np.where(self.slots[slot] == hashes, self.slot_ids[slot], 0)
+        if not len(self.sorted):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.sorted, hashes), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == hashes, self.order[at] + 1, 0)
 
     def inputs(self, words: Words) -> np.ndarray:
         if not len(words.starts):
@@ -252,7 +250,7 @@ class Network:
                     first[k] += 0.1 * (grad - first[k])
                     second[k] += 0.001 * (grad * grad - second[k])
                     self.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-        logits = np.concatenate([self.worst(docs[i : i + 256])[0] for i in range(0, len(docs), 256)])
+        logits = np.concatenate([self.worst(docs[i : i + 64])[0] for i in range(0, len(docs), 64)])
         self.shift = _best_cut(logits, labels)
 
 
@@ -288,7 +286,10 @@ def train(docs: list[str], labels: list[int], sample: Sample = Sample()) -> Netw
     often = often[np.lexsort((hashes[often], -counts[often]))][: sample.words]
     vocabulary, odds = hashes[often], odds[often].astype(np.float32)
     of_char = np.repeat(words.owner, words.lengths)
-    grams, counts, of_gram = _odds(words.grams.ravel(), np.concatenate([of_char, of_char]), marks)
+    # each group once per document and as one number, which bounds the driver's memory
+    pairs = np.unique(np.concatenate([np.unique(row * len(docs) + of_char) for row in words.grams]))
+    del words, of_char
+    grams, counts, of_gram = _odds(pairs // len(docs), pairs % len(docs), marks)
     gram_odds = np.zeros(GRAMS, np.float32)
     gram_odds[grams] = of_gram
     network = Network(vocabulary, odds, gram_odds)

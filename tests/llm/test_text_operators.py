@@ -235,3 +235,19 @@ def test_language_against_plain_code(spark, messy, nothing):
     assert language.identify(nothing, F.lit(True)).count() == 0
     assert {r.lang_pred for r in language.identify(messy, F.lit(False)).collect()} == {"und"}
     assert language.keep_identified(messy).columns == messy.columns
+
+
+def test_words_of_like_hashes_keep_their_own_vectors():
+    high = np.uint64(77 << 48)
+    vocabulary = np.array([high + np.uint64(9), high + np.uint64(3), np.uint64(5)], np.uint64)
+    network = toxicity.Network(vocabulary, np.zeros(3, np.float32), np.zeros(toxicity.GRAMS, np.float32))
+    assert network.word_ids(np.append(vocabulary, high)).tolist() == [1, 2, 3, 0]
+    none = toxicity.Network(vocabulary[:0], np.zeros(0, np.float32), np.zeros(toxicity.GRAMS, np.float32))
+    assert none.word_ids(vocabulary).tolist() == [0, 0, 0]
+
+
+def test_every_half_window_of_words_lies_in_one_window():
+    half = toxicity.WINDOW // 2
+    for n in (40, 100, 331):
+        _, begin, count = toxicity.Words([" ".join(["word"] * n)]).windows()
+        assert all(any(b <= at and at + half <= b + c for b, c in zip(begin, count)) for at in range(n - half + 1))
