@@ -78,3 +78,11 @@ SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(e) AS edited_sha256,
     {_AS_TEXT.format("g")} AS edited_fingerprint, {_likeness("f", "g")} AS near_edited, {_likeness("f", "nf")} AS near_next
 FROM edited JOIN own USING (doc_id) JOIN other USING (doc_id) JOIN (SELECT doc_id AS next_id, f AS nf FROM own) USING (next_id)
 """
+
+EXACT = r"""
+WITH d AS (
+    SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS bare FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size,
+    row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY bare ORDER BY n DESC, doc_id)
+"""

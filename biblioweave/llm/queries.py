@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import bpe, fingerprint, html, language, lm, neardup, oracles, packing, privacy, quality, toxicity
+from biblioweave.llm import bpe, exact, fingerprint, html, language, lm, neardup, oracles, packing, privacy, quality, toxicity
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -121,3 +121,10 @@ def op10(spark, folder):
     found = lm.score(docs, fold != 2, fold == 3, keep=["doc_id"])
     held_out = crc_fold(F.col("row.doc_id"), 7) == 2
     return found.select("row.doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query("op11_exact_dedup", oracles.EXACT)
+def op11(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = exact.refine(docs, keep=["doc_id"], extra=lambda bare: F.sha2(bare, 256))
+    return found.select("row.doc_id", "keep_id", "group_size", "kept", F.col("extra").alias("text_sha256"))
