@@ -86,3 +86,41 @@ SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION B
     row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
 FROM d WINDOW w AS (PARTITION BY bare ORDER BY n DESC, doc_id)
 """
+
+INTERACTIONS = r"""
+WITH d AS (
+    SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws
+    FROM documents),
+failing AS (
+    SELECT doc_id, part, CASE WHEN len(ws) < 100 THEN 'A' ELSE '' END
+        || CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 'B' ELSE '' END
+        || CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t) THEN 'C' ELSE '' END
+        || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+        || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+    FROM d),
+told AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+groups AS (
+    SELECT part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+    FROM failing LEFT JOIN told USING (doc_id) GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+orders AS (
+    SELECT a.c || b.c || x.c || y.c || z.c AS filter_order FROM letters a, letters b, letters x, letters y, letters z
+    WHERE len(list_distinct([a.c, b.c, x.c, y.c, z.c])) = 5),
+steps AS (
+    SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS f, filter_order[:step - 1] AS before
+    FROM (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders)),
+cells AS (
+    SELECT part, filter_order, step, f, n, good, toxic, contains(fails, f) AS hit,
+        translate(fails, before, '') <> fails AS earlier, replace(fails, f, '') = '' AS lone
+    FROM steps, groups),
+summed AS (
+    SELECT part, filter_order, step, f,
+        CAST(coalesce(sum(n) FILTER (NOT hit AND NOT earlier), 0) AS BIGINT) AS kept,
+        CAST(coalesce(sum(n) FILTER (hit AND NOT earlier), 0) AS BIGINT) AS removed,
+        CAST(coalesce(sum(n) FILTER (hit AND earlier), 0) AS BIGINT) AS redundant,
+        CAST(coalesce(sum(n) FILTER (hit AND lone), 0) AS BIGINT) AS unique_fails,
+        CAST(coalesce(sum(good) FILTER (hit AND NOT earlier), 0) AS BIGINT) AS good_lost,
+        CAST(coalesce(sum(toxic) FILTER (hit AND NOT earlier), 0) AS BIGINT) AS toxic_lost
+    FROM cells GROUP BY ALL)
+SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM summed
+"""

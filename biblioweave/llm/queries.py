@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import bpe, exact, fingerprint, html, language, lm, neardup, oracles, packing, privacy, quality, toxicity
+from biblioweave.llm import bpe, exact, fingerprint, html, interactions, language, lm, neardup, oracles, packing, privacy, quality, toxicity
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -128,3 +128,10 @@ def op11(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = exact.refine(docs, keep=["doc_id"], extra=lambda bare: F.sha2(bare, 256))
     return found.select("row.doc_id", "keep_id", "group_size", "kept", F.col("extra").alias("text_sha256"))
+
+
+@query("op12_filter_audit", oracles.INTERACTIONS)
+def op12(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    found = interactions.audit(docs, table(spark, folder, "labels"), interactions.text_filters(), "E")
+    return found.withColumnsRenamed({"lost_quality": "good_lost", "lost_toxic": "toxic_lost"})
