@@ -124,3 +124,34 @@ summed AS (
     FROM cells GROUP BY ALL)
 SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM summed
 """
+
+# Any phrase of two words is in at most two candidates of three words at each of its places.
+PHRASES = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS piece, ws FROM (
+        SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS ws FROM (
+            SELECT lang, unnest(regexp_split_to_array(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents))),
+grams AS (
+    SELECT lang, n, unnest(list_transform(range(1, len(ws) - n + 2), lambda i: ws[i:i + n - 1])) AS g
+    FROM pieces, (SELECT unnest([1, 2, 3]) AS n) WHERE len(ws) >= n),
+counts AS (SELECT lang, n AS size, g, count(*) AS f FROM grams GROUP BY lang, n, g),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE size = 1 GROUP BY lang),
+candidates AS (SELECT lang, size, g, f AS a FROM counts WHERE size > 1 AND f >= 10),
+cuts AS (SELECT *, unnest(range(1, size)) AS k FROM candidates),
+scored AS (
+    SELECT c.lang, c.size, c.g, c.a, x.f AS l, y.f AS r, k,
+        CAST((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.g[:k] JOIN counts y ON y.lang = c.lang AND y.g = c.g[k + 1:]),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_pairs AS (
+    SELECT lang, g, max(a) AS a FROM (
+        SELECT lang, g[1:2] AS g, a FROM candidates WHERE size = 3 UNION ALL SELECT lang, g[2:3], a FROM candidates WHERE size = 3) GROUP BY lang, g),
+kept AS (
+    SELECT lowest.* FROM lowest LEFT JOIN inner_pairs i ON i.lang = lowest.lang AND i.g = lowest.g
+    WHERE i.a IS NULL OR 100 * i.a < 50 * lowest.a),
+named AS (SELECT lang, array_to_string(g, ' ') AS phrase, a, l, r, score FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+    SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM named)
+JOIN totals USING (lang) WHERE rank <= 2000
+"""

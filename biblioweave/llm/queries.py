@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.llm import bpe, exact, fingerprint, html, interactions, language, lm, neardup, oracles, packing, privacy, quality, toxicity
+from biblioweave.llm import bpe, exact, fingerprint, html, interactions, language, lm, neardup, oracles, packing, phrases, privacy, quality, toxicity
 from biblioweave.llm.common import crc_fold
 from biblioweave.session import tune
 
@@ -135,3 +135,8 @@ def op12(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     found = interactions.audit(docs, table(spark, folder, "labels"), interactions.text_filters(), "E")
     return found.withColumnsRenamed({"lost_quality": "good_lost", "lost_toxic": "toxic_lost"})
+
+
+@query("op13_phrases", oracles.PHRASES)
+def op13(spark, folder):
+    return phrases.collocations(table(spark, folder, "documents").select("text", "lang"))
