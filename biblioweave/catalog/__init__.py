@@ -44,4 +44,4 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     """Import all query modules."""
-    from biblioweave.catalog import files, keytables, lookups, matching, reports, scalars  # noqa: F401
+    from biblioweave.catalog import files, keytables, landed, lookups, matching, reports, scalars  # noqa: F401

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioweave.functions.text import not_blank
+from biblioweave.session import materialise
 
 
 def latest_per_key(df: DataFrame, key: str, order_by: list[Column]) -> DataFrame:
@@ -49,3 +50,18 @@ def left_lookup(
         *[F.col(c).alias(name) for c, name in columns.items()],
     )
     return keyed.join(side, keyed["_key"] == side["_table_key"], "left").drop("_key", "_table_key")
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` with ``number``, dense from 0 in the given order; rows must differ in it.
+
+    Partitions are ranges of the order and are numbered within; one row for each
+    partition gives where its numbers begin.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(ranged.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    firsts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_first"))
+    rows = placed.withColumn("_part", part).join(F.broadcast(firsts), "_part")
+    return rows.withColumn("number", F.col("_first") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_part", "_first", "_at")

@@ -11,9 +11,8 @@ records:
   requests of equal content matched once.  Copies score the same and are
   ranked by id, so the smallest ids of a content stand for all of them;
 * postings of such tokens are salted, so no task holds a whole token;
-* ``top_candidates(pruned=True)`` first scores the records that share a rare
-  token.  The k-th best of those is a lower bound of the k-th best overall, and
-  tokens that together cannot lift a record over it need not be expanded.  The
+* a stored index keeps its postings in blocks with upper bounds too (``blocks``),
+  and matching opens only blocks that can hold one of the best records.  The
   result is the same as that of the plain join.
 """
 
@@ -25,19 +24,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioweave.functions.text import analyze, bind, fold_ascii, not_blank
+from biblioweave.operators.blocks import blocked_scores, build_blocks
 from biblioweave.session import materialise
 
 K1, B = 1.2, 0.75
 BLOCK_SIZE = 4
 SCORE_DIGITS = 6
-# Rounded scores closer than this may still be ties, so bounds keep that distance.
-SLACK = 2e-6
 # A token is salted when it has more than one in HOT_SHARE of a field's
 # postings; so there are fewer than HOT_SHARE salted tokens per field.
 HOT_SHARE = 2000
-SEED_DF = 32
-# Share of the score floor that optional terms may reach together.
-OPTIONAL_BUDGET = 0.5
 
 # Analyzer per search field.
 FIELD_ANALYZERS = {
@@ -65,6 +60,9 @@ class Index:
     ``members``      rep, id: the ``keep`` smallest ids of each content whose
                      postings stand under the smallest id; None when every
                      record is indexed on its own
+    ``blocks``, ``spans``  the postings in blocks, and bounds of larger ranges;
+                     None when the index is not stored
+    ``condition``    what the records must meet, on carried columns
     """
 
     postings: DataFrame
@@ -72,10 +70,14 @@ class Index:
     field_stats: DataFrame
     members: DataFrame | None = None
     keep: int = 0
+    blocks: DataFrame | None = None
+    spans: DataFrame | None = None
+    condition: Column | None = None
 
     def where(self, condition: Column) -> Index:
         """The index limited to some records, with unchanged statistics."""
-        return replace(self, postings=self.postings.filter(condition))
+        both = condition if self.condition is None else self.condition & condition
+        return replace(self, postings=self.postings.filter(condition), condition=both)
 
 
 def _runs(tokens: Column) -> Column:
@@ -221,7 +223,10 @@ def build_index(
     if stored:
         token_stats = materialise(token_stats, "token-stats")
         field_stats = materialise(field_stats, "field-stats")
-    return Index(postings, token_stats, field_stats, members, keep)
+    blocks = spans = None
+    if stored:
+        blocks, spans = build_blocks(postings.join(F.broadcast(field_stats), "field"), _share(), carry)
+    return Index(postings, token_stats, field_stats, members, keep, blocks, spans)
 
 
 def request_tokens(
@@ -292,59 +297,6 @@ def _full_scores(pairs: DataFrame, terms: DataFrame, index: Index) -> DataFrame:
     )
 
 
-def _floor(scored: DataFrame, k: int) -> DataFrame:
-    """A lower bound of the k-th best score per request, 0 with fewer than k records."""
-    return scored.groupBy("req_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(0.0).alias("floor")
-    )
-
-
-def _pruned_scores(
-    terms: DataFrame, index: Index, k: int, seed_df: int, budget: float
-) -> DataFrame:
-    """Scores that contain the k best candidates of every request.
-
-    1. The best records by rare terms alone get their full score; the lowest
-       of these k is a floor under the final k-th score.
-    2. The cheapest terms whose bounds sum to less than ``budget`` of the floor
-       are optional.  A record with optional terms only stays under the floor,
-       so candidates come from the other terms.
-    3. The best of these candidates, fully scored, raise the floor; candidates
-       that cannot reach it even with all optional terms are left out.
-    4. What remains gets its optional terms added.
-    """
-    seeds = best_k(bm25(terms.filter(F.col("df") <= seed_df), index), k)
-    floor = _floor(_full_scores(seeds.select("req_id", "id"), terms, index), k)
-    order = (
-        Window.partitionBy("req_id").orderBy("bound", "field", "token")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    reach = F.sum("bound").over(order)
-    limit = F.coalesce("floor", F.lit(0.0)) * budget - F.lit(SLACK)
-    ranked = terms.withColumn("reach", reach).join(floor, "req_id", "left")
-    ranked = materialise(ranked.withColumn("optional", F.col("reach") < limit), "ranked-terms")
-
-    partial = materialise(
-        bm25(ranked.filter(~F.col("optional")), index), "partial-scores"
-    )
-    leaders = best_k(partial, k).select("req_id", "id")
-    bounds = ranked.groupBy("req_id").agg(
-        F.sum(F.when(F.col("optional"), F.col("bound")).otherwise(0.0)).alias("rest"),
-        F.max(F.coalesce("floor", F.lit(0.0))).alias("first_floor"),
-    ).join(_floor(_full_scores(leaders, terms, index), k), "req_id", "left")
-    bounds = bounds.select(
-        "req_id", "rest", F.greatest("first_floor", F.coalesce("floor", F.lit(0.0))).alias("floor")
-    )
-    alive = materialise(
-        partial.join(bounds, "req_id")
-        .filter(F.col("score") + F.col("rest") >= F.col("floor") - F.lit(SLACK))
-        .select("req_id", "id", "score"),
-        "alive-candidates",
-    )
-    extra = _full_scores(alive.select("req_id", "id"), ranked.filter("optional"), index)
-    return alive.unionByName(extra).groupBy("req_id", "id").agg(F.sum("score").alias("score"))
-
-
 def distinct_requests(
     requests: DataFrame, columns: list[str]
 ) -> tuple[DataFrame, DataFrame]:
@@ -386,16 +338,13 @@ def top_candidates(
     *,
     k: int = BLOCK_SIZE,
     exclude: str | None = None,
-    pruned: bool = False,
-    seed_df: int = SEED_DF,
-    budget: float = OPTIONAL_BUDGET,
+    pruned: bool = True,
 ) -> DataFrame:
     """The k best records per request: ``req_id, id, raw_score, blocking_rank``.
 
-    ``fields`` maps index fields to request columns.  ``pruned`` suits batches
-    of many requests against a large index; single small batches are faster
-    with the plain join.  The weighted terms are stored so that their size is
-    known when the joins are planned.
+    ``fields`` maps index fields to request columns.  An index with blocks is
+    searched by their bounds; ``pruned=False`` joins all postings.  The weighted
+    terms are stored so that their size is known when the joins are planned.
     """
     distinct, keyed = distinct_requests(requests, sorted({c for c, _ in fields.values()}))
     terms = materialise(
@@ -403,7 +352,10 @@ def top_candidates(
     )
     # one more content, as one of them may be the excluded record alone
     n = k + (exclude is not None)
-    scores = _pruned_scores(terms, index, n, seed_df, budget) if pruned else bm25(terms, index)
+    if pruned and index.blocks is not None:
+        scores = blocked_scores(terms, index.blocks, index.spans, n, index.condition)
+    else:
+        scores = bm25(terms, index)
     return whole_requests(best_k(scores, n), keyed, index, k=k, exclude=exclude)
 
 

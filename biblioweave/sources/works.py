@@ -118,6 +118,24 @@ def read_api_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_works(_placed_items(items))
 
 
+def page_cursors(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """One row per ``message.next-cursor`` of landed update pages: how many pages and items
+    have it, their files in order, and whether it is repeated.
+
+    A chain of pages has each cursor once; a repeated one was landed twice or did not go on.
+    """
+    pages = (
+        spark.read.schema("message struct<`next-cursor`:string,items:array<string>>")
+        .option("multiLine", True).json(path)
+        .select(F.col("message.next-cursor").alias("next_cursor"), F.coalesce(F.size("message.items"), F.lit(0)).alias("items"),
+                F.col("_metadata.file_path").alias("file"))
+    )
+    return pages.groupBy("next_cursor").agg(
+        F.count("*").alias("pages"), F.sum("items").alias("items"), F.sort_array(F.collect_list("file")).alias("files"),
+        (F.count("*") > 1).alias("repeated"),
+    )
+
+
 def _open(path: str):
     """Byte stream of a file on any file system the workers can reach."""
     from pyarrow import fs

@@ -19,7 +19,7 @@ from biblioweave.functions.text import (
     clean_reference_string, not_blank, null_if_blank, strip_markup,
 )
 from biblioweave.schemas import BIBLIO
-from biblioweave.sources.works import place_of
+from biblioweave.sources.works import line_place, place_of
 
 _TEXT = "_VALUE:string"
 _DATE = "struct<Year:string,Month:string,Day:string>"
@@ -420,20 +420,37 @@ def read_hal_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def count_hal_pages(spark: SparkSession, path: str) -> DataFrame:
     """One row: how many records of the pages are accepted, and how many are invalid."""
-    return hal_page_records(spark, path).agg(
+    return _counted(hal_page_records(spark, path))
+
+
+def _counted(records: DataFrame) -> DataFrame:
+    return records.agg(
         F.count_if(~F.col("invalid")).alias("accepted"), F.count_if(F.col("invalid")).alias("invalid")
     )
 
 
-def read_oai_pmh_pages(spark: SparkSession, path: str) -> DataFrame:
-    """``biblio`` rows of landed OAI-PMH pages; the ``tei:`` prefix is dropped."""
+def oai_pmh_records(spark: SparkSession, path: str) -> DataFrame:
+    """All records of landed OAI-PMH pages with metadata, the ``tei:`` prefix dropped;
+    ``invalid`` and ``seq`` as for repository response pages."""
     records = (
         spark.read.format("xml").option("rowTag", "record").schema("metadata string").load(path)
+        .select("metadata", line_place())
     )
     tei = records.select(
-        F.regexp_replace("metadata", r"(</?)tei:", "$1").alias("tei")
+        F.regexp_replace("metadata", r"(</?)tei:", "$1").alias("tei"), "seq"
     ).filter(not_blank(F.col("tei")))
-    return parse_hal_tei(tei, "tei")
+    rows = parse_hal_tei(tei, "tei", keep=("seq",))
+    return rows.withColumn("invalid", ~not_blank(F.col("hal_id")) | F.col("hal_id").isNull())
+
+
+def read_oai_pmh_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``biblio`` rows of landed OAI-PMH pages that carry an id."""
+    return oai_pmh_records(spark, path).filter(~F.col("invalid")).drop("invalid")
+
+
+def count_oai_pmh_pages(spark: SparkSession, path: str) -> DataFrame:
+    """One row: how many records of the pages are accepted, and how many are invalid."""
+    return _counted(oai_pmh_records(spark, path))
 
 
 CITATION_TEI = f"""

@@ -87,7 +87,7 @@ def test_top_candidates_equal_brute_force(spark, pruned, hot):
     df = spark.createDataFrame(list(docs.items()), "id long, text string")
     index = search.build_index(df, {"bibliographic": ("text", "words_stop")})
     requests = df.select(F.col("id").alias("req_id"), F.col("text").alias("biblio"))
-    got = search.match_biblio(requests, index, pruned=pruned, seed_df=5)
+    got = search.match_biblio(requests, index, pruned=pruned)
     got = {(r.req_id, r.id, r.raw_score) for r in got.collect()}
     want = bm25_by_hand(docs, docs, 4)
     assert {g[:2] for g in got} == {w[:2] for w in want}
@@ -245,9 +245,9 @@ def test_a_third_of_all_records_are_copies(spark, pruned):
     assert index.postings.filter("id >= 1000").select("id").distinct().count() == 1
     assert index.members.filter("rep >= 1000").count() == search.BLOCK_SIZE + 1
     requests = df.select(F.col("id").alias("req_id"), F.col("text").alias("biblio"), F.col("id").alias("own"))
-    plain = search.match_biblio(requests, index, pruned=pruned, seed_df=5).collect()
+    plain = search.match_biblio(requests, index, pruned=pruned).collect()
     assert {(r.req_id, r.id) for r in plain} == {w[:2] for w in bm25_by_hand(docs, docs, 4)}
-    others = search.match_biblio_conditional(requests, index, exclude="own", pruned=pruned, seed_df=5).collect()
+    others = search.match_biblio_conditional(requests, index, exclude="own", pruned=pruned).collect()
     assert {(r.req_id, r.id) for r in others} == best_others(docs, 4)
 
 
