@@ -306,3 +306,59 @@ def test_journal_match_in_a_hot_issue(spark):
                     scores[i] += s
         best = sorted(scores, key=lambda i: (-round(scores[i], 6), i))[:4]
         assert [r.id for r in sorted(got, key=lambda r: r.blocking_rank) if r.req_id == req.req_id] == best
+
+
+def skewed_records(spark, n=4_000):
+    """Texts of frequent words, and of some rare ones that make up a topic."""
+    import random
+
+    pick, rows = random.Random(7), []
+    for i in range(n):
+        words = [f"common{min(int(pick.expovariate(0.3)), 20)}" for _ in range(pick.randint(5, 60))]
+        rows.append((f"d{i:05d}", " ".join([*words, *(f"topic{i % 500}x{k}" for k in range(4))])))
+    return spark.createDataFrame(rows, "id string, text string"), rows
+
+
+def test_blocks_are_left_out_and_nothing_else_changes(spark):
+    from biblioweave.operators import blocks
+
+    df, rows = skewed_records(spark)
+    index = search.build_index(df, {"bibliographic": ("text", "words_stop")})
+    requests = spark.createDataFrame([(i, rows[i * 37][1]) for i in range(40)], "req_id int, biblio string")
+    best = [sorted(map(tuple, search.match_biblio(requests, index, pruned=p).collect())) for p in (True, False)]
+    assert best[0] == best[1]
+    terms = search.weighted_terms(search.request_tokens(requests, search.BIBLIO_FIELD), index).cache()
+    kept = blocks.surviving_slices(terms, index.blocks, index.spans, 4)
+    every = terms.join(index.blocks, ["field", "token"]).count()
+    assert blocks.open_blocks(kept, terms, index.blocks).count() < every / 5
+
+
+def test_blocks_respect_conditions_and_rare_requests(spark):
+    df, rows = skewed_records(spark, 600)
+    df = df.withColumn("has_doi", search.F.substring("id", 6, 1).isin("0", "2"))
+    index = search.build_index(df, {"bibliographic": ("text", "words_stop")}, carry=("has_doi",))
+    asked = [(0, rows[3][1]), (1, "common1"), (2, "never seen"), (3, "topic7x1"), (4, " ")]
+    requests = spark.createDataFrame(asked, "req_id int, biblio string")
+    both = [sorted(map(tuple, search.match_biblio_conditional(requests, index, pruned=p).collect())) for p in (True, False)]
+    assert both[0] == both[1] and {r[0] for r in both[0]} >= {0, 1}
+
+
+def test_blocks_hold_every_posting_once(spark):
+    from biblioweave.operators import blocks
+
+    df, _ = skewed_records(spark, 300)
+    index = search.build_index(df, {"bibliographic": ("text", "words_stop")})
+    opened = index.blocks.select("field", "token", "best", search.F.explode("postings").alias("p"))
+    assert opened.count() == index.postings.count() == opened.select("token", "p.id").distinct().count()
+    assert opened.where("p.share > best").isEmpty()
+    sizes = index.blocks.agg(search.F.max(search.F.size("postings"))).first()[0]
+    assert sizes <= blocks.SLICE
+
+
+def test_numbers_are_dense_and_in_order(spark):
+    from biblioweave.operators.keys import numbered
+
+    df = spark.range(0, 3_000, 3).selectExpr("id", "id % 7 AS length").repartition(6)
+    found = sorted((r.number, r.length, r.id) for r in numbered(df, "length", "id").collect())
+    assert [n for n, _, _ in found] == list(range(1_000))
+    assert [x[1:] for x in found] == sorted((i % 7, i) for i in range(0, 3_000, 3))
