@@ -1,22 +1,32 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
 A text is the set of its five-word shingles, weighted by count times inverse
-document frequency.  SAMPLES consistent weighted samples agree between two texts
-with a chance equal to their weighted Jaccard similarity; bands of samples bring
-likely pairs into one bucket, and each pair is verified on the whole texts.
-
-Equal texts are one node.  Within a bucket all members are compared with a
-centre.  Members in one class are not compared again; those outside the centre's
-class go on to further rounds with new centres, and are compared among each
-other once that is only a few pairs per text.  What left a bucket with a centre
-is compared with what stayed only where their similarities to the centre allow
-a link: the distance is a metric, so two texts whose similarities to a third
-differ by more than 1 - threshold cannot be linked.  So every pair of a bucket is
-compared, ruled out, or in one class already.  Classes are the connected groups.
-
-Inverse document frequency is capped: shingles of fewer than 1/COMMON of the
-documents all have the cap, so the table of commoner ones has at most
-COMMON * (mean shingles of a document) rows, whatever the corpus.
+document frequency, 1 + ln(N / df) / ln(N) for N documents: from 1 for a shingle of
+all documents to 2 for one of a single document.  SAMPLES consistent weighted
+samples agree between two texts with a chance equal to their weighted Jaccard
+similarity; bands of samples bring likely pairs into one bucket, and pairs are
+verified on the whole texts.
+
+Document frequencies are counted over all documents in a sketch of CELLS counters
+(bounded memory, one broadcast).  What other shingles add to a counter on average
+is taken off; frequencies below three standard deviations of that noise count as
+that much, which is 1 as long as the corpus has fewer shingles than counters.
+
+Equal texts are one node.  The members of a small bucket (of all, once that is
+no more than PAIRS_PER_TEXT pairs for each text) are compared with each other; those of a large one with its centre, the member that meets most others in
+all its buckets, so that the bands of a group share a centre from its middle.  What is left
+are pairs of which one, f, is not linked to the centre.  Let D be the weight in
+which a text differs from the centre, m its own weight, k = (1 - threshold) /
+(1 + threshold) and A = D - k m.  Two texts are linked if and only if their
+differences to the centre overlap by (A(f) + A(y)) / 2 or more.  With the elements of
+a difference in one order (those the centre lacks, rarest first, then those that
+only the centre has, which far texts share anyway), the first element that both share must
+leave that much in both from there on.  So candidates share an element of their
+differences that passes this test; the others are ruled out by scalars.  Elements
+with more than FAR_LIMIT texts that are not linked to the centre become buckets of
+the next level, without their centre.  So every pair of a bucket is compared,
+ruled out, or in one class already.  Links are contracted to classes after each
+level, and buckets within one class are closed.  Classes are the connected groups.
 
 Texts of fewer than five words are one shingle; texts without a word (null ones
 too) are one class.  A class is named by its smallest id (null if none has one).
@@ -27,11 +37,13 @@ result.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,9 +55,14 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 BANDS, BAND_ROWS = 20, 4
 SAMPLES = BANDS * BAND_ROWS
-COMMON = 3
-BLOCK_DOCS = 8192
+SMALL_BUCKET = 8
+FAR_LIMIT = 64
 PAIRS_PER_TEXT = 2
+CELLS = 1 << 22
+_CHUNK = 1 << 16
+_TASKS_AT_ONCE = 1024
+# Frequencies are kept in eighths of an octave.
+_STEPS = 8
 NODES_PER_FILE = 50_000
 _TABLE_BITS = 16
 _ID_BITS = 53
@@ -85,20 +102,32 @@ def _fold(words: np.ndarray) -> int:
 
 
 class Weights:
-    """Weights of shingles: count times capped inverse document frequency."""
-
-    def __init__(self, common: list[tuple[int, int]], docs: int):
-        common = sorted(common)
-        self.ids = np.array([s for s, _ in common], np.uint64)
-        self.idf = 1 + np.log(docs / np.array([n for _, n in common], float)) if common else np.zeros(0)
-        self.cap = 1 + np.log(COMMON)
+    """Weights of shingles: count times inverse document frequency, by the counters of all documents."""
+
+    def __init__(self, counters: np.ndarray, docs: int):
+        self.cells = len(counters)
+        noise = counters.sum(dtype=np.int64) / self.cells
+        least = max(1.0, 3 * np.sqrt(noise))
+        found = np.maximum(counters - (noise if noise > 1 else 0.0), least)
+        self._codes = zlib.compress(np.round(_STEPS * np.log2(found)).astype(np.uint8).tobytes(), 1)
+        self._table = None
+        self.idf = np.maximum(1.0, 2 - np.arange(256) * np.log(2) / _STEPS / np.log(max(docs, 2)))
+        self.usual = float(self.idf[int(np.round(_STEPS * np.log2(least)))])
+
+    def __getstate__(self):
+        return self.__dict__ | {"_table": None}
+
+    def idf_of(self, ids: np.ndarray) -> np.ndarray:
+        if self._table is None:
+            self._table = np.frombuffer(zlib.decompress(self._codes), np.uint8)
+        return self.idf[self._table[_cell(ids, self.cells)]]
 
     def of(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        idf = np.full(len(ids), self.cap)
-        if len(self.ids):
-            at = np.minimum(np.searchsorted(self.ids, ids), len(self.ids) - 1)
-            idf = np.where(self.ids[at] == ids, np.minimum(self.idf[at], self.cap), idf)
-        return counts * idf
+        return counts * self.idf_of(ids)
+
+
+def _cell(ids: np.ndarray, cells: int) -> np.ndarray:
+    return (ids & np.uint64(cells - 1)).astype(np.int64)
 
 
 class Sampler:
@@ -116,7 +145,7 @@ class Sampler:
         self.r, self.c, self.beta = rng.gamma(2, 1, size), np.log(rng.gamma(2, 1, size)), rng.random(size)
         self.spread = rng.integers(0, 1 << 63, SAMPLES, np.uint64) * np.uint64(2) + np.uint64(1)
         self.weights = weights
-        self.usual = self._upper(np.arange(size), np.log(weights.cap))
+        self.usual = self._upper(np.arange(size), np.log(weights.usual))
 
     def _upper(self, at: np.ndarray, log_weight) -> np.ndarray:
         """The value in order-preserving form above bit 32, t in the lowest byte."""
@@ -134,7 +163,7 @@ class Sampler:
             starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
             weight = self.weights.of(ids, counts)
             mass = np.bincount(owner, weight, len(docs))
-            odd = np.flatnonzero(weight != self.weights.cap)
+            odd = np.flatnonzero(weight != self.weights.usual)
             log_odd = np.log(weight[odd])
             low = (ids & np.uint64(0xFFFFFF)) << np.uint64(8)
             spread_ids = mix(ids)
@@ -150,60 +179,85 @@ class Sampler:
         return mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)), mass
 
 
+def compare(one: str, other: str, weights: Weights) -> tuple[float, float, float, np.ndarray, np.ndarray]:
+    """Similarity of two whole texts, their weights, and in what the other differs: elements, those it has more of and rare ones first, and weights."""
+    owner, ids, counts = shingles([one, other])
+    cut = np.searchsorted(owner, 1)
+    distinct, place = np.unique(ids, return_inverse=True)
+    changes = np.bincount(place[cut:], counts[cut:], len(distinct)) - np.bincount(place[:cut], counts[:cut], len(distinct))
+    idf = weights.idf_of(distinct)
+    own = idf[place] * counts
+    mass, other_mass, apart = own[:cut].sum(), own[cut:].sum(), (np.abs(changes) * idf).sum()
+    found = np.flatnonzero(changes)
+    order = found[np.lexsort((distinct[found], -idf[found], changes[found] < 0))]
+    elements = (distinct[order] << np.uint64(1)) | (changes[order] > 0)
+    total = mass + other_mass
+    return float((total - apart) / (total + apart)) if total else 1.0, mass, other_mass, elements, np.abs(changes[order]) * idf[order]
+
+
 def similarity(one: str, other: str, weights: Weights) -> float:
     """Weighted Jaccard similarity of two whole texts."""
-    owner, ids, counts = shingles([one, other])
-    if not len(ids):
-        return 1.0
-    weight, cut = weights.of(ids, counts), np.searchsorted(owner, 1)
-    _, a, b = np.intersect1d(ids[:cut], ids[cut:], assume_unique=True, return_indices=True)
-    least = np.minimum(weight[:cut][a], weight[cut:][b]).sum()
-    return float(least / (weight.sum() - least))
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Blocks of documents: how many, their distinct shingles, and in how many of them each is."""
-    waiting, docs = [], 0
-    for batch in steps(batches, _STEP_DOCS):
-        waiting.append(shingles(texts(batch.column(column)))[1])
-        docs += batch.num_rows
-        if docs >= BLOCK_DOCS:
-            yield (docs, *np.unique(np.concatenate(waiting), return_counts=True))
-            waiting, docs = [], 0
-    if docs:
-        yield (docs, *np.unique(np.concatenate(waiting), return_counts=True))
-
-
-def common_shingles(docs: DataFrame, text: str) -> Weights:
-    """Document frequencies of the shingles in 1/COMMON of the documents or more.
-
-    Such a shingle reaches half that share in some block, and the counts from
-    those blocks alone reach half of the whole; at most 2 * COMMON * mean shingles
-    pass that, and they are counted exactly in a second pass.
-    """
-    plain = docs.select(F.col(text).alias("text"))
+    return compare(one, other, weights)[0]
 
-    def guess(batches):
-        for n, ids, counts in _blocks(batches):
-            often = counts * 2 * COMMON >= n
-            rows = [None, *ids[often].astype(np.int64).tolist()], [n, *counts[often].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64())], ["id", "n"])
 
-    guessed = materialise(plain.mapInArrow(guess, "id long, n long"), "shingle-guesses")
-    total = guessed.where("id is null").agg(F.sum("n")).first()[0] or 0
-    likely = guessed.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * COMMON >= total)
-    wanted = np.array(sorted(r["id"] for r in likely.select("id").collect()), np.uint64)
-    if not len(wanted):
-        return Weights([], total)
+def _packed(counts: np.ndarray) -> tuple[bytes, bytes]:
+    """Places (none if all are listed) and values of counters: one byte each, large ones in eight more."""
+    places = np.flatnonzero(counts)
+    dense = 3 * len(places) > len(counts)
+    values = (counts if dense else counts[places]).astype(np.int64)
+    large = values[values >= 255]
+    return b"" if dense else places.astype("<u2").tobytes(), np.minimum(values, 255).astype(np.uint8).tobytes() + large.astype("<i8").tobytes()
 
-    def count(batches):
-        for _, ids, counts in _blocks(batches):
-            at = np.minimum(np.searchsorted(wanted, ids), len(wanted) - 1)
-            hit = wanted[at] == ids
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit].astype(np.int64)), pa.array(counts[hit], pa.int64())], ["id", "n"])
 
-    exact = plain.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") * COMMON >= total)
-    return Weights([(r["id"], r["n"]) for r in exact.collect()], total)
+def _unpacked(places: bytes, values: bytes, size: int) -> np.ndarray:
+    at = np.frombuffer(places, "<u2").astype(np.int64) if places else np.arange(size if values else 0)
+    found = np.frombuffer(values, np.uint8, len(at)).astype(np.int64)
+    found[found == 255] = np.frombuffer(values, "<i8", offset=len(at))
+    counts = np.zeros(size, np.int64)
+    counts[at] = found
+    return counts
+
+
+def document_frequencies(docs: DataFrame, text: str) -> Weights:
+    """Weights by how many documents have each shingle; repeated rows count as documents.
+
+    Tasks count into counters of their own; these are added up in chunks, those of
+    at most _TASKS_AT_ONCE tasks first.
+    """
+    cells, chunk = CELLS, min(_CHUNK, CELLS)
+
+    def count(batches):
+        total, docs_seen = np.zeros(cells, np.int32), 0
+        for batch in steps(batches, _STEP_DOCS):
+            found, n = np.unique(_cell(shingles(texts(batch.column(0)))[1], cells), return_counts=True)
+            total[found] += n.astype(np.int32)
+            docs_seen += batch.num_rows
+        if docs_seen:
+            parts = [(k, *_packed(total[k * chunk : (k + 1) * chunk]), 0) for k in range(cells // chunk)]
+            rows = [(k, *rest) for k, *rest in parts if rest[1]] + [(-1, b"", b"", docs_seen)]
+            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int64())
+            ours = pa.array([TaskContext.get().partitionId() // _TASKS_AT_ONCE] * len(rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(zip(*rows), kinds)), ours], ["chunk", "places", "values", "docs", "part"])
+
+    def add(rows: pa.Table) -> pa.Table:
+        total = np.zeros(chunk, np.int64)
+        for places, values in zip(rows.column("places").to_pylist(), rows.column("values").to_pylist()):
+            total += _unpacked(places, values, chunk)
+        places, values = _packed(total)
+        docs_seen = sum(rows.column("docs").to_pylist())
+        return pa.table([[rows.column("chunk")[0].as_py()], [places], [values], [docs_seen], [0]], _sketch)
+
+    _sketch = pa.schema([("chunk", pa.int32()), ("places", pa.binary()), ("values", pa.binary()), ("docs", pa.int64()), ("part", pa.int32())])
+    schema = "chunk int, places binary, values binary, docs long, part int"
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(count, schema)
+    summed = counted.groupBy("chunk", "part").applyInArrow(add, schema).groupBy("chunk").applyInArrow(add, schema)
+    counters, docs_seen = np.zeros(cells, np.int64), 0
+    for row in summed.collect():  # cells / chunk rows
+        if row["chunk"] < 0:
+            docs_seen = row["docs"]
+        else:
+            counters[row["chunk"] * chunk : (row["chunk"] + 1) * chunk] = _unpacked(row["places"], row["values"], chunk)
+    return Weights(counters, docs_seen)
 
 
 def sign(docs: DataFrame, weights: Weights, doc_id="doc_id", text="text") -> DataFrame:
@@ -224,22 +278,38 @@ def sign(docs: DataFrame, weights: Weights, doc_id="doc_id", text="text") -> Dat
     return materialise(plain.mapInArrow(run, T.StructType([plain.schema["doc_id"], *fields])), "signatures")
 
 
-def _verify(pairs: DataFrame, involved: DataFrame, weights: Weights) -> DataFrame:
-    """``pairs`` (a, b) with their similarity, as a written table."""
+def _reaches(found, threshold: float) -> tuple[float, list[int], list[float]]:
+    """Excess A of a star's member, and the elements it may share first with a linked text, with the weight from there on."""
+    near, centre_mass, mass, elements, weight = found
+    k = (1 - threshold) / (1 + threshold)
+    left = np.cumsum(weight[::-1])[::-1]
+    excess = (left[0] if len(left) else 0.0) - k * mass
+    # the other text's excess is more than k * centre_mass if this one is linked to the centre, else at least -k * centre_mass
+    least = excess + k * centre_mass if near >= threshold else excess - k * centre_mass
+    kept = 2 * left >= least - 1e-6
+    return float(excess), elements[kept].astype(np.int64).tolist(), left[kept].tolist()
+
+
+def _verify(pairs: DataFrame, involved: DataFrame, weights: Weights, threshold: float) -> DataFrame:
+    """``pairs`` (a, b, star) with their similarity, as a written table.
+
+    For stars (a is the centre) also the excess of b, and its elements with reaches.
+    """
     left = involved.select(F.col("key").alias("a"), F.col("text").alias("one"))
     right = involved.select(F.col("key").alias("b"), F.col("text").alias("other"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "one", "other")
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "star", "one", "other")
 
     def run(batches):
         for batch in steps(batches, _STEP_DOCS):
-            found = [similarity(x, y, weights) for x, y in zip(texts(batch.column(2)), texts(batch.column(3)))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "similarity"])
+            rows = []
+            for star, one, other in zip(batch.column(2).to_pylist(), texts(batch.column(3)), texts(batch.column(4))):
+                found = compare(one, other, weights)
+                rows.append((found[0], *(_reaches(found, threshold) if star else (0.0, [], []))))
+            columns = zip(list(zip(*rows)) or [[]] * 4, (pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *(pa.array(*c) for c in columns)], ["a", "b", "star", "similarity", "excess", "elements", "reaches"])
 
-    return materialise(joined.mapInArrow(run, "a string, b string, similarity double"), "verified-pairs")
-
-
-def _ordered(a, b):
-    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+    schema = "a string, b string, star boolean, similarity double, excess double, elements array<long>, reaches array<double>"
+    return materialise(joined.mapInArrow(run, schema), "verified-pairs")
 
 
 def _written(df: DataFrame, label: str, files: int) -> DataFrame:
@@ -247,50 +317,69 @@ def _written(df: DataFrame, label: str, files: int) -> DataFrame:
     return materialise(df.coalesce(files), label)
 
 
-def components(edges: DataFrame, files: int) -> DataFrame:
-    """node and label (its group's least node) for all ends of ``edges`` (a, b), as a written table."""
-    both = _written(
-        edges.select(F.col("a").alias("node"), F.col("b").alias("to")).union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges", files
-    )
-    labels = both.groupBy("node").agg(F.min("to").alias("m")).select("node", F.least("node", "m").alias("label"))
-    labels = _written(labels, "labels", files)
-    while True:
-        near = both.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("label").alias("near"))
-        least = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        moved = least.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("next", "label")).alias("label"))
-        moved = _written(moved, "labels", files)
-        labels = moved.select("node", "label")
-        if moved.where(F.col("was") != F.col("label")).isEmpty():
-            return labels
+def _relabelled(edges: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The classes at both ends of ``edges`` (a, b), each pair of different ones once."""
+    for end in ("a", "b"):
+        edges = _labelled(edges, labels, end).select(F.col("group").alias(end), *[c for c in ("a", "b") if c != end])
+    return edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def contract(edges: DataFrame, files: int) -> DataFrame | None:
+    """node and label (its group's representative) for all ends of ``edges`` (a, b); None without an edge.
+
+    Every node hooks onto its least neighbour, chains are shortened to their roots,
+    and what is left between roots is contracted again.
+    """
+    labels = None
+    while not edges.isEmpty():
+        both = edges.union(edges.select("b", "a"))
+        hooks = _written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "hooks", files)
+        while True:
+            to = hooks.select(F.col("node").alias("label"), F.col("label").alias("next"))
+            shorter = hooks.join(to, "label").select("node", F.col("next").alias("label"), (F.col("next") != F.col("label")).alias("moved"))
+            shorter = _written(shorter, "hooks", files)
+            hooks = shorter.select("node", "label")
+            if shorter.where("moved").isEmpty():
+                break
+        labels = hooks if labels is None else _then(labels, hooks, files)
+        edges = _written(_relabelled(edges, hooks), "edges", files)
+    return labels
+
+
+def _then(labels: DataFrame, later: DataFrame, files: int) -> DataFrame:
+    """First ``labels``, then the labels of these."""
+    first = labels.select("node", F.col("label").alias("was"))
+    second = later.select(F.col("node").alias("was"), F.col("label").alias("now"))
+    both = first.join(second, "was", "full").select(F.coalesce("node", "was").alias("node"), F.coalesce("now", "was").alias("label"))
+    # a class that is named by one of its own nodes has that node among the first labels already
+    return _written(both.groupBy("node").agg(F.first("label").alias("label")), "labels", files)
 
 
 def near_duplicates(docs: DataFrame, doc_id="doc_id", text="text", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document: doc_id, key (hash of its text), label (its class) and class_id (its class's smallest id)."""
-    weights = common_shingles(docs, text)
+    """One row per document: doc_id, key (hash of its text), label (its class), class_id (its class's
+    smallest id), class_size (documents) and similarity (the greatest verified with another text, else null)."""
+    weights = document_frequencies(docs, text)
     signed = sign(docs, weights, doc_id, text)
     nodes = signed.groupBy("key").agg(F.first("bands").alias("bands"), F.first("mass").alias("mass"))
     total = nodes.count()
     files = total // NODES_PER_FILE + 4
     places = nodes.select("key", F.explode("bands").alias("bucket"))
     shared = places.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    active = _written(places.join(shared, "bucket"), "bucket-members", files)
-    links = None
+    active = _written(places.join(shared, "bucket").withColumn("above", F.lit(0).cast("long")), "bucket-members", files)
+    labels, links = None, None
     if not active.isEmpty():
         keyed = docs.select(F.md5(whole(F.col(text))).alias("key"), whole(F.col(text)).alias("text"))
         involved = materialise(
             keyed.join(active.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text")), "involved-texts"
         )
         masses = materialise(nodes.join(active.select("key").distinct(), "key", "left_semi").select("key", "mass"), "text-masses")
-        links = _links(active, involved, masses, total, files, weights, threshold)
-    if links is None or links.isEmpty():
-        grouped = signed.select("doc_id", "key", F.col("key").alias("label"))
-    else:
-        labels = components(links, files)
-        grouped = signed.select("doc_id", "key").join(labels.withColumnRenamed("node", "key"), "key", "left")
-        grouped = grouped.withColumn("label", F.coalesce("label", "key"))
-    named = grouped.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    return grouped.join(named, "label").select("doc_id", "key", "label", "class_id")
+        labels, links = _classes(active, involved, masses, total, files, weights, threshold)
+    grouped = _labelled(signed.select("doc_id", "key"), labels).withColumnRenamed("group", "label")
+    best = docs.sparkSession.createDataFrame([], "key string, similarity double")
+    if links is not None:
+        best = links.select(F.col("a").alias("key"), "similarity").union(links.select("b", "similarity")).groupBy("key").agg(F.max("similarity").alias("similarity"))
+    named = grouped.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    return grouped.join(named, "label").join(best, "key", "left").select("doc_id", "key", "label", "class_id", "class_size", "similarity")
 
 
 def _possible(pairs: DataFrame, masses: DataFrame, threshold: float) -> DataFrame:
@@ -300,76 +389,73 @@ def _possible(pairs: DataFrame, masses: DataFrame, threshold: float) -> DataFram
     return both.where(F.least("a_mass", "b_mass") >= (threshold - 1e-9) * F.greatest("a_mass", "b_mass")).select("a", "b")
 
 
-def _links(active: DataFrame, involved: DataFrame, masses: DataFrame, nodes: int, files: int, weights: Weights, threshold: float) -> DataFrame:
-    """Verified pairs (a, b) that give the same classes as all pairs of each bucket: see the head of the module."""
-    labels, known, rounds = None, None, []
+def _classes(active: DataFrame, involved: DataFrame, masses: DataFrame, nodes: int, files: int, weights: Weights, threshold: float):
+    """Labels of the texts that are linked, and all verified links: see the head of the module."""
+    labels = links = known = candidates = None
     while True:
         members = _labelled(active, labels)
-        groups = members.groupBy("bucket", "group").agg(
-            F.count("*").alias("n"), F.min(F.struct(F.xxhash64("key", "bucket").alias("h"), "key")).alias("first")
-        )
-        sizes = groups.groupBy("bucket").agg(
-            F.count("*").alias("groups"),
-            ((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
-            F.min("first")["key"].alias("centre"),
-        )
-        left = _written(sizes.where("groups > 1"), "open-buckets", files)
-        pairs = left.agg(F.sum("pairs")).first()[0] or 0
-        if not pairs:
-            break
-        last = pairs <= PAIRS_PER_TEXT * nodes
-        open_ = members.join(left.select("bucket", "centre"), "bucket")
-        if last:
-            others = open_.select("bucket", F.col("key").alias("other"), F.col("group").alias("other_group"))
-            placed = open_.join(others, "bucket").where((F.col("other") < F.col("key")) & (F.col("other_group") != F.col("group")))
-            placed = placed.select("bucket", F.col("other").alias("centre"), "key")
-        else:
-            placed = open_.where(F.col("centre") != F.col("key")).select("bucket", "centre", "key")
-        placed = _written(placed, "bucket-pairs", files)
-        fresh = placed.select(*_ordered(F.col("centre"), F.col("key"))).distinct()
-        if known is not None:
-            fresh = fresh.join(known.select("a", "b"), ["a", "b"], "left_anti")
-        if last:
-            fresh = _possible(fresh, masses, threshold)
-        verified = _verify(fresh, involved, weights)
-        known = verified if known is None else known.unionByName(verified)
-        labels = components(known.where(F.col("similarity") >= threshold).select("a", "b"), files)
-        if last:
-            break
-        judged = placed.withColumns({"a": F.least("centre", "key"), "b": F.greatest("centre", "key")}).join(known, ["a", "b"])
-        judged = _written(judged.select("bucket", "centre", "key", "similarity"), "judged-members", files)
-        rounds.append(judged)
-        active = _written(_apart(judged, labels).select("bucket", "key"), "bucket-members", files)
-    links = known.where(F.col("similarity") >= threshold).select("a", "b")
-    extra = None
-    for judged in rounds:
-        # members outside their centre's class against those inside, where the two similarities do not rule a link out
-        far = _apart(judged, labels).select("bucket", F.col("key").alias("far"), F.col("similarity").alias("far_similarity"))
-        inside = _labelled(judged, labels).join(_labelled(judged.select("bucket", F.col("centre").alias("key")).distinct(), labels)
-            .select("bucket", F.col("group").alias("centre_group")), "bucket").where(F.col("group") == F.col("centre_group"))
-        near = far.join(inside.select("bucket", "key", "similarity"), "bucket")
-        near = near.where(F.abs(F.col("similarity") - F.col("far_similarity")) <= 1 - threshold)
-        near = near.select(*_ordered(F.col("far"), F.col("key"))).distinct()
-        extra = near if extra is None else extra.union(near)
-    if extra is None:
-        return links
-    fresh = extra.distinct().join(known.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verify(_possible(fresh, masses, threshold), involved, weights)
-    return links.union(more.where(F.col("similarity") >= threshold).select("a", "b"))
-
-
-def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+        open_ = members.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("group") != F.max("group")).alias("mixed"))
+        members = _written(members.join(open_.where("mixed").drop("mixed"), "bucket"), "open-buckets", files)
+        # one row of each bucket in n stands for (n - 1) / 2 of its pairs
+        every = members.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
+        small = F.lit(True) if every <= PAIRS_PER_TEXT * nodes else F.col("n") <= SMALL_BUCKET
+        large = members.where(~small)
+        # a text that meets many others is in the middle of its group
+        met = large.groupBy("key").agg(F.struct((-F.sum("n")).alias("met"), F.xxhash64("key").alias("hash"), "key").alias("order"))
+        centres = large.join(met, "key").groupBy("bucket").agg(F.min("order")["key"].alias("centre"))
+        few = members.where(small).select("bucket", "key", "group")
+        others = few.select("bucket", F.col("key").alias("b"), F.col("group").alias("b_group"))
+        pairs = few.join(others, "bucket").where((F.col("key") < F.col("b")) & (F.col("group") != F.col("b_group")))
+        pairs = _possible(pairs.select(F.col("key").alias("a"), "b").distinct(), masses, threshold)
+        if candidates is not None:
+            apart = _labelled(_labelled(candidates, labels, "a").withColumnRenamed("group", "a_group"), labels, "b")
+            pairs = pairs.union(apart.where("a_group != group").select("a", "b")).distinct().join(known, ["a", "b"], "left_anti")
+        star = F.xxhash64("above", "centre").alias("star_id")
+        stars = large.join(centres, "bucket").where(F.col("key") != F.col("centre")).select(star, F.col("centre").alias("a"), F.col("key").alias("b"))
+        stars = _written(stars.distinct(), "stars", files)
+        asked = pairs.withColumn("star", F.lit(False)).unionByName(stars.select("a", "b").distinct().withColumn("star", F.lit(True)))
+        verified = _verify(asked, involved, weights, threshold)
+        compared = verified.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        known = compared if known is None else known.union(compared)
+        linked = verified.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
+        links = linked if links is None else links.union(linked)
+        more = contract(_written(_relabelled(linked.select("a", "b"), labels), "edges", files), files)
+        if more is not None:
+            labels = more if labels is None else _then(labels, more, files)
+        if stars.isEmpty():
+            return labels, links
+        active, candidates = _beyond_centres(stars, verified.where("star"), threshold, files)
+
+
+def _beyond_centres(stars: DataFrame, verified: DataFrame, threshold: float, files: int) -> tuple[DataFrame, DataFrame]:
+    """What may be linked within stars besides the links to the centre: buckets (bucket, key, above), and pairs (a, b)."""
+    found = stars.join(verified.drop("star"), ["a", "b"])
+    shared = F.explode(F.arrays_zip("elements", "reaches")).alias("e")
+    rows = found.select("star_id", F.col("b").alias("key"), (F.col("similarity") < threshold).alias("far"), "excess", shared)
+    rows = rows.select("star_id", F.col("e.elements").alias("element"), "key", "far", "excess", F.col("e.reaches").alias("reach"))
+    rows = _written(rows, "star-elements", files)
+    place = ["star_id", "element"]
+    least = rows.groupBy(*place).agg(F.min("excess").alias("least"), F.min(F.when(F.col("far"), F.col("excess"))).alias("least_far"))
+    can = F.col("excess") + F.when(F.col("far"), F.col("least")).otherwise(F.col("least_far")) <= 2 * F.col("reach") + 1e-6
+    rows = rows.join(least.where("least_far IS NOT NULL"), place).where(can).drop("least", "least_far")
+    sizes = rows.groupBy(*place).agg(F.count_if("far").alias("n_far"), F.count("*").alias("n")).where("n_far > 0 AND n > 1")
+    rows = _written(rows.join(sizes.drop("n"), place), "star-elements", files)
+    few = rows.where(F.col("n_far") <= FAR_LIMIT)
+    far = few.where("far").select("star_id", "element", F.col("key").alias("f"), F.col("excess").alias("f_excess"), F.col("reach").alias("f_reach"))
+    once = ~F.col("far") | (F.col("key") < F.col("f"))
+    enough = F.col("excess") + F.col("f_excess") <= 2 * F.least("reach", "f_reach") + 1e-6
+    pairs = few.join(far, place).where((F.col("key") != F.col("f")) & once & enough)
+    pairs = _written(pairs.select(F.least("key", "f").alias("a"), F.greatest("key", "f").alias("b")).distinct(), "star-pairs", files)
+    many = rows.where(F.col("n_far") > FAR_LIMIT)
+    buckets = many.select(F.xxhash64("star_id", "element").alias("bucket"), "key", F.col("star_id").alias("above"))
+    return _written(buckets, "bucket-members", files), pairs
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None, key: str = "key") -> DataFrame:
     """``members`` with their group: the class found so far, or the key itself."""
     if labels is None:
-        return members.withColumn("group", F.col("key"))
-    return members.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("group", F.coalesce("label", "key")).drop("label")
-
-
-def _apart(judged: DataFrame, labels: DataFrame) -> DataFrame:
-    """The judged members whose class is not that of their centre."""
-    of_centre = labels.select(F.col("node").alias("centre"), F.col("label").alias("centre_label"))
-    both = _labelled(judged, labels).join(of_centre, "centre", "left")
-    return both.where(F.col("group") != F.coalesce("centre_label", "centre"))
+        return members.withColumn("group", F.col(key))
+    return members.join(labels.select(F.col("node").alias(key), "label"), key, "left").withColumn("group", F.coalesce("label", key)).drop("label")
 
 
 def keep_one(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:

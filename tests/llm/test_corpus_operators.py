@@ -9,6 +9,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from biblioweave.llm import fingerprint, lm, neardup, privacy, quality
@@ -203,8 +205,7 @@ def plain_classes(texts):
         n = neardup.SHINGLE_WORDS
         counts.append(Counter(tuple(words[i : i + n]) for i in range(len(words) - n + 1)) if len(words) >= n else Counter([tuple(words)] if words else []))
     df = Counter(s for c in counts for s in c)
-    cap = math.log(neardup.COMMON)
-    weight = lambda s: 1 + min(cap, math.log(len(texts) / df[s]))
+    weight = lambda s: 1 + math.log(len(texts) / df[s]) / math.log(len(texts))
     vectors = [{s: k * weight(s) for s, k in c.items()} for c in counts]
     group = list(range(len(texts)))
 
@@ -217,7 +218,7 @@ def plain_classes(texts):
     for i, v in enumerate(vectors):
         for s in v or {(): 0}:
             holders[s].append(i)
-    for a, b in {(h[0], j) for h in holders.values() for j in h[1:]} | {(i, j) for h in holders.values() for i in h for j in h if i < j and len(h) < 80}:
+    for a, b in {(i, j) for h in holders.values() for i in h for j in h if i < j}:
         least = sum(min(w, vectors[b].get(s, 0)) for s, w in vectors[a].items())
         whole = sum(vectors[a].values()) + sum(vectors[b].values()) - least
         if not whole or least / whole >= neardup.THRESHOLD:
@@ -237,12 +238,12 @@ def test_near_duplicates_against_all_pairs(documents):
 
 def test_a_large_group_of_near_copies_is_one_class(spark):
     rng = random.Random(8)
-    base = [f"w{i}" for i in range(120)]
+    base = [f"w{i}" for i in range(400)]
     texts = []
     for i in range(150):
         words = list(base)
         for _ in range(rng.randint(0, 2)):
-            words[rng.randrange(120)] = f"x{i}"
+            words[rng.randrange(400)] = f"x{i}"
         texts.append(" ".join(words))
     texts += [" ".join(f"y{i}-{k}" for k in range(60)) for i in range(300)] + [texts[0]] * 30
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
@@ -253,6 +254,7 @@ def test_a_large_group_of_near_copies_is_one_class(spark):
 
 
 def test_rounds_with_new_centres_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
     monkeypatch.setattr(neardup, "PAIRS_PER_TEXT", 0.02)
     rng = random.Random(2)
     texts = []
@@ -266,8 +268,73 @@ def test_rounds_with_new_centres_lose_no_link(spark, monkeypatch):
     assert same_partition(plain_classes(texts), [found[i] for i in range(len(texts))])
 
 
+def mixed_copies(n, seed):
+    """Copies of one text with 0 to 6 words changed, half of them at places of a common variant."""
+    rng, texts = random.Random(seed), []
+    for i in range(n):
+        words = [f"w{k}" for k in range(140)]
+        if i % 2:
+            words[20:23] = ["v1", "v2", "v3"]
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(140)] = f"x{rng.randrange(40)}"
+        if i % 10 == 0:
+            del words[rng.randrange(100, 140) :]
+        texts.append(" ".join(words))
+    return texts
+
+
+def watch(monkeypatch):
+    """Pairs compared in each level."""
+    levels, verify = [], neardup._verify
+    monkeypatch.setattr(neardup, "_verify", lambda pairs, *rest: [out := verify(pairs, *rest), levels.append(out.count())][0])
+    return levels
+
+
+@pytest.mark.parametrize("limit", [2_000, 40])
+def test_no_pair_of_a_bucket_is_lost(spark, monkeypatch, limit):
+    texts = mixed_copies(260, 4) + [" ".join(f"y{i}-{k}" for k in range(60)) for i in range(900)]
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 3)
+    monkeypatch.setattr(neardup, "FAR_LIMIT", limit)
+    monkeypatch.setattr(neardup, "PAIRS_PER_TEXT", 0.2)
+    levels = watch(monkeypatch)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()}
+    assert same_partition(plain_classes(texts), [found[i] for i in range(len(texts))])
+    assert len(levels) > 1
+
+
+def test_work_on_a_group_of_near_copies_grows_with_the_texts(spark, monkeypatch):
+    levels = watch(monkeypatch)
+    texts = mixed_copies(2_000, 5) + [" ".join(f"y{i}-{k}" for k in range(30)) for i in range(4_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert neardup.near_duplicates(docs).count() == len(texts)
+    assert sum(levels) <= 2 * neardup.BANDS * 2_000
+    assert len(levels) <= 11  # the logarithm of the texts
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40))
+def test_contracted_links_give_connected_groups(spark, pairs):
+    group = list(range(26))
+    for a, b in pairs:
+        group = [group[b] if g == group[a] else g for g in group]
+    edges = neardup._relabelled(spark.createDataFrame(pairs, "a long, b long"), None)
+    found = neardup.contract(edges, 2)
+    labels = {} if found is None else {r.node: r.label for r in found.collect()}
+    assert same_partition(group, [labels.get(i, i) for i in range(26)])
+
+
+def test_counters_count_documents(spark, monkeypatch):
+    texts = ["a b c d e f", "a b c d e", "a b c d e f g", None, "x y"] * 40
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    weights = neardup.document_frequencies(docs, "text")
+    ids = neardup.shingles(["a b c d e", "b c d e f", "x y", "never seen"])[1]
+    wanted = 1 + np.log(200 / np.array([120, 80, 40, 1])) / np.log(200)
+    assert np.allclose(np.sort(weights.idf_of(ids)), np.sort(wanted), atol=0.05)
+
+
 def test_samples_agree_as_often_as_texts_are_similar():
-    weights, rng = neardup.Weights([], 10), random.Random(1)
+    weights, rng = neardup.Weights(np.zeros(1024, np.int64), 10), random.Random(1)
     sampler = neardup.Sampler(weights)
     words = [f"w{i}" for i in range(300)]
     agree, wanted = [], []
