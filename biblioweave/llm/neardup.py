@@ -13,7 +13,8 @@ is taken off; frequencies below three standard deviations of that noise count as
 that much, which is 1 as long as the corpus has fewer shingles than counters.
 
 Equal texts are one node.  The members of a small bucket (of all, once that is
-no more than PAIRS_PER_TEXT pairs for each text) are compared with each other; those of a large one with its centre, the member that meets most others in
+no more than PAIRS_PER_TEXT pairs for each text, four times as many in each further
+level) are compared with each other; those of a large one with its centre, the member that meets most others in
 all its buckets, so that the bands of a group share a centre from its middle.  What is left
 are pairs of which one, f, is not linked to the centre.  Let D be the weight in
 which a text differs from the centre, m its own weight, k = (1 - threshold) /
@@ -23,8 +24,8 @@ a difference in one order (those the centre lacks, rarest first, then those that
 only the centre has, which far texts share anyway), the first element that both share must
 leave that much in both from there on.  So candidates share an element of their
 differences that passes this test; the others are ruled out by scalars.  Elements
-with more than FAR_LIMIT texts that are not linked to the centre become buckets of
-the next level, without their centre.  So every pair of a bucket is compared,
+with more than FAR_LIMIT texts (eight times as many in each further level) that are
+not linked to the centre become buckets of the next level, without their centre.  So every pair of a bucket is compared,
 ruled out, or in one class already.  Links are contracted to classes after each
 level, and buckets within one class are closed.  Classes are the connected groups.
 
@@ -392,13 +393,15 @@ def _possible(pairs: DataFrame, masses: DataFrame, threshold: float) -> DataFram
 def _classes(active: DataFrame, involved: DataFrame, masses: DataFrame, nodes: int, files: int, weights: Weights, threshold: float):
     """Labels of the texts that are linked, and all verified links: see the head of the module."""
     labels = links = known = candidates = None
+    budget, far_limit = PAIRS_PER_TEXT * nodes, FAR_LIMIT
     while True:
         members = _labelled(active, labels)
         open_ = members.groupBy("bucket").agg(F.count("*").alias("n"), (F.min("group") != F.max("group")).alias("mixed"))
         members = _written(members.join(open_.where("mixed").drop("mixed"), "bucket"), "open-buckets", files)
         # one row of each bucket in n stands for (n - 1) / 2 of its pairs
         every = members.agg(F.sum((F.col("n") - 1) / 2)).first()[0] or 0
-        small = F.lit(True) if every <= PAIRS_PER_TEXT * nodes else F.col("n") <= SMALL_BUCKET
+        small = F.lit(True) if every <= budget else F.col("n") <= SMALL_BUCKET
+        budget *= 4
         large = members.where(~small)
         # a text that meets many others is in the middle of its group
         met = large.groupBy("key").agg(F.struct((-F.sum("n")).alias("met"), F.xxhash64("key").alias("hash"), "key").alias("order"))
@@ -424,10 +427,11 @@ def _classes(active: DataFrame, involved: DataFrame, masses: DataFrame, nodes: i
             labels = more if labels is None else _then(labels, more, files)
         if stars.isEmpty():
             return labels, links
-        active, candidates = _beyond_centres(stars, verified.where("star"), threshold, files)
+        active, candidates = _beyond_centres(stars, verified.where("star"), threshold, files, far_limit)
+        far_limit *= 8
 
 
-def _beyond_centres(stars: DataFrame, verified: DataFrame, threshold: float, files: int) -> tuple[DataFrame, DataFrame]:
+def _beyond_centres(stars: DataFrame, verified: DataFrame, threshold: float, files: int, far_limit: int) -> tuple[DataFrame, DataFrame]:
     """What may be linked within stars besides the links to the centre: buckets (bucket, key, above), and pairs (a, b)."""
     found = stars.join(verified.drop("star"), ["a", "b"])
     shared = F.explode(F.arrays_zip("elements", "reaches")).alias("e")
@@ -440,13 +444,13 @@ def _beyond_centres(stars: DataFrame, verified: DataFrame, threshold: float, fil
     rows = rows.join(least.where("least_far IS NOT NULL"), place).where(can).drop("least", "least_far")
     sizes = rows.groupBy(*place).agg(F.count_if("far").alias("n_far"), F.count("*").alias("n")).where("n_far > 0 AND n > 1")
     rows = _written(rows.join(sizes.drop("n"), place), "star-elements", files)
-    few = rows.where(F.col("n_far") <= FAR_LIMIT)
+    few = rows.where(F.col("n_far") <= far_limit)
     far = few.where("far").select("star_id", "element", F.col("key").alias("f"), F.col("excess").alias("f_excess"), F.col("reach").alias("f_reach"))
     once = ~F.col("far") | (F.col("key") < F.col("f"))
     enough = F.col("excess") + F.col("f_excess") <= 2 * F.least("reach", "f_reach") + 1e-6
     pairs = few.join(far, place).where((F.col("key") != F.col("f")) & once & enough)
     pairs = _written(pairs.select(F.least("key", "f").alias("a"), F.greatest("key", "f").alias("b")).distinct(), "star-pairs", files)
-    many = rows.where(F.col("n_far") > FAR_LIMIT)
+    many = rows.where(F.col("n_far") > far_limit)
     buckets = many.select(F.xxhash64("star_id", "element").alias("bucket"), "key", F.col("star_id").alias("above"))
     return _written(buckets, "bucket-members", files), pairs
 
