@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from biblioweave.functions.ids import normalise_doi, normalise_key, normalise_pmc
-from biblioweave.functions.similarity import ratcliff_obershelp
+from biblioweave.functions.similarity import reaches
 from biblioweave.functions.text import not_blank, null_if_blank
 from biblioweave.operators.keys import left_lookup
 
@@ -149,8 +149,8 @@ def post_validate(
     author counts as a mismatch as soon as a title is given.
     """
     has_title, has_author = not_blank(F.col(atitle)), not_blank(F.col(author))
-    title_ok = ratcliff_obershelp(F.col(atitle), F.col(record_title)) >= threshold
-    author_ok = ratcliff_obershelp(F.col(author), F.col(record_author)) >= threshold
+    title_ok = reaches(F.col(atitle), F.col(record_title), threshold)
+    author_ok = reaches(F.col(author), F.col(record_author), threshold)
     ok = (~has_title | title_ok) & ((F.lit(not strict) & ~has_author) | author_ok)
     ok = ~(has_title | has_author) | ok
     failed = (F.col("status") == "found") & ~F.coalesce(ok, F.lit(False))

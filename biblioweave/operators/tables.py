@@ -14,6 +14,7 @@ from biblioweave.functions.pages import page_range
 from biblioweave.functions.text import not_blank, null_if_blank, simple_clean
 from biblioweave.operators.keys import last_written, latest_per_key, left_lookup
 from biblioweave.operators.records import drop_ignored_fields, reject_incomplete
+from biblioweave.session import materialise
 
 PMC_PDF = "https://www.ncbi.nlm.nih.gov/pmc/articles/"
 
@@ -141,15 +142,15 @@ def add_missing_istex(current: DataFrame, new: DataFrame, *, key: str = "key") -
 def build_hal_works(
     biblio: DataFrame, *, order_by: list[Column] | None = None
 ) -> tuple[DataFrame, DataFrame]:
-    """Repository id to record JSON, and DOI to repository id."""
+    """Repository id to record JSON, and DOI to the repository id written last for it."""
     rows = biblio_to_work(biblio, source="hal").withColumn("hal_id", normalise_key(F.col("hal_id")))
     works = latest_per_key(
         rows, "hal_id", order_by or _written(rows) or [F.col("json").desc()]
     ).select("hal_id", "doi", "json")
+    by_doi = rows.withColumn("doi", normalise_doi(F.col("doi"))).filter(not_blank(F.col("hal_id")))
     doi_hal = latest_per_key(
-        works.select(normalise_doi(F.col("doi")).alias("doi"), "hal_id"), "doi",
-        [F.col("hal_id").desc()],
-    )
+        by_doi, "doi", [*(order_by or _written(rows)), F.col("hal_id").desc()]
+    ).select("doi", "hal_id")
     return works, doi_hal
 
 
@@ -322,13 +323,11 @@ def fill_reference_ids(
 ) -> DataFrame:
     """``fill_missing_ids`` for the references of each record, order kept.
 
-    A record's references are found again by a hash of the whole list, never null;
-    equal lists are filled once, and the regrouped arrays are as large as they were.
+    Records are numbered and written once, so a record's references find it again by
+    its number; no list of references, however common, is a key.
     """
-    owner = F.sha2(F.to_json("references"), 256)
-    refs = biblio.filter(F.size("references") > 0).select(
-        owner.alias("_owner"), F.posexplode("references").alias("_pos", "r")
-    ).dropDuplicates(["_owner", "_pos"])
+    rows = materialise(biblio.withColumn("_owner", F.monotonically_increasing_id()), "numbered-records")
+    refs = rows.filter(F.size("references") > 0).select("_owner", F.posexplode("references").alias("_pos", "r"))
     refs = refs.select(
         "_owner", "_pos", "r.unstructured", "r.pmid", "r.doi", "r.pmc", "r.pii"
     )
@@ -345,7 +344,7 @@ def fill_reference_ids(
             ),
         ).alias("_references")
     )
-    joined = biblio.withColumn("_list", owner).join(regrouped, F.col("_list") == F.col("_owner"), "left")
+    joined = rows.join(regrouped, "_owner", "left")
     return joined.withColumn("references", F.coalesce("_references", "references")).select(
         *biblio.columns
     )

@@ -22,6 +22,8 @@ from biblioweave.operators.records import (
 from biblioweave.sources.works import parse_works
 
 UPDATE_FILES = "[DG]*.json.gz"
+# Batches between two compactions, unless told otherwise; 0 for none.
+COMPACT_EVERY = 16
 
 
 def _partitions(spark: SparkSession, folder: str, name: str) -> list[int]:
@@ -162,7 +164,7 @@ def stream_work_updates(
     clean: bool = False,
     once: bool = True,
     apply: Callable[..., None] = apply_batch,
-    compact_every: int = 0,
+    compact_every: int = COMPACT_EVERY,
     by_arrival: bool = False,
     **options,
 ) -> StreamingQuery:
