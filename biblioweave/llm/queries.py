@@ -99,7 +99,7 @@ def op4(spark, folder):
 
 @query("op9_near_duplicates")
 def op9(spark, folder):
-    return neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+    return neardup.near_duplicates(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size", "similarity")
 
 
 @query("op6_personal_data")
