@@ -503,3 +503,20 @@ def summary(t: Tables):
         audit_missing_doi(records, index, pruned=True),
         audit_duplicates(records, index, pruned=True),
     )
+
+
+@query("X1_index_kept_current", TOP_SQL)
+def index_kept_current(t: Tables):
+    """Passages matched in an index of four batches: stale texts, the right ones, more records, and their deletion."""
+    from biblioweave.session import scratch_path
+    from biblioweave.streaming.index import apply_changes, current_index
+
+    root = scratch_path(t.spark, "index-log")
+    docs = t.documents.select("doc_id", "text")
+    stale = docs.withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("stale "), F.substring("text", 1, 200))).otherwise(F.col("text")))
+    more = docs.withColumn("doc_id", -1 - F.col("doc_id"))
+    apply_changes(stale, 0, root, TEXT, id="doc_id")
+    apply_changes(docs.where("doc_id % 3 = 0"), 1, root, TEXT, id="doc_id")
+    apply_changes(more, 2, root, TEXT, id="doc_id")
+    apply_changes(docs.where("doc_id % 50 = 0"), 3, root, TEXT, id="doc_id", deleted=more.select("doc_id"))
+    return _top(S.match_biblio(passages(t), current_index(t.spark, root)))
