@@ -1,6 +1,6 @@
 """SQL that says the same as some of the operators, for an independent check."""
 
-QUALITY = r"""
+_QUALITY = r"""
 WITH d AS (
     SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t,
         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
@@ -18,28 +18,28 @@ base AS (
         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(covered.n, 0) AS n_repeat_words
     FROM d LEFT JOIN covered USING (doc_id)),
 normal AS (
-    SELECT doc_id, host, t, ls, list_transform(ls, lambda x: trim(regexp_replace(
+    SELECT doc_id, host, ls, list_transform(ls, lambda x: trim(regexp_replace(
         regexp_replace(lower(x), '\p{N}', '0', 'g'), '[^\p{L}0]+', ' ', 'g'))) AS ns
     FROM d),
 places AS (
-    SELECT doc_id, host, t, ns[i] AS line, CASE WHEN i > 1 THEN ns[i - 1] END AS before, ns[i + 1] AS after,
+    SELECT doc_id, host, array_to_string(ns, chr(10)) AS same, ns[i] AS line,
         len(regexp_extract_all(ls[i], '[^\x20\x09-\x0D]+')) AS n
     FROM (SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM normal)),
-hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
-often AS (
-    SELECT host, line, count(DISTINCT t) AS n, count(DISTINCT before) AS b, count(DISTINCT after) AS a
-    FROM places WHERE places.n <= 40 GROUP BY host, line),
-boilerplate AS (
-    SELECT host, line FROM often JOIN hosts USING (host)
-    WHERE n > 20 AND n > 0.005 * docs AND 2 * greatest(b, a) > n),
-lost AS (
-    SELECT doc_id, sum(n) AS n FROM places JOIN boilerplate USING (host, line) WHERE places.n <= 40 GROUP BY doc_id)
+hosts AS (SELECT host, count(DISTINCT same) AS docs FROM places GROUP BY host),
+often AS (SELECT host, line, count(DISTINCT same) AS n FROM places GROUP BY host, line),
+boilerplate AS (SELECT host, line FROM often JOIN hosts USING (host) WHERE n > $line_docs AND n > $line_share * docs),
+lost AS (SELECT doc_id, sum(n) AS n FROM places JOIN boilerplate USING (host, line) GROUP BY doc_id)
 SELECT base.*, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
     CAST(coalesce(lost.n, 0) AS BIGINT) AS removed_words,
     NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND coalesce(lost.n, 0) <= 0.8 * n_words AS kept
 FROM base LEFT JOIN lost USING (doc_id)
 """
 
+
+def quality(line_docs: int = 20, line_share: float = 0.005) -> str:
+    return _QUALITY.replace("$line_docs", str(line_docs)).replace("$line_share", str(line_share))
+
+
 # Winnowing of a text column: its chosen (position, hash) pairs in order of position.
 _CHOSEN = r"""
     SELECT doc_id, list_sort(list_distinct(list_transform(ks, lambda k: {{'p': 4294967295 - k % 4294967296, 'h': k // 4294967296}}))) AS {name}

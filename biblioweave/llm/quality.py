@@ -5,17 +5,16 @@ documents of a host than the limit allows is boilerplate and is removed, and a
 document that loses nearly all of its words is rejected.  Only DataFrame
 functions are used.
 
-Null text: no words, rejected.  Null host: one host of its own.  Copies of a
-text count once per host, and so do near copies, so a group of them never makes
-its own lines frequent.  Near copies are told by whole texts: ``SKETCH`` min-hashes
-of four-word windows, of which one band is equal and ``ALIKE`` of all are.
-Equal rows get equal results.  An empty table gives an empty result.
+Documents are distinct if their normalised lines differ, so copies of a text count
+once per host, with any case, digits or marks.  Copies with changed words are
+documents of their own: more of them than the limit are boilerplate to each
+other.  Texts without a word do not count.  Null text: no words, rejected.  Null
+host: one host of its own.  Equal rows get equal results.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,21 +29,14 @@ WINDOW_WORDS = 8
 LINE_SHARE = 0.005
 LINE_DOCS = 20
 DEPLETED_SHARE = 0.8
-# Near copies: min-hashes of a text in bands, and how many of two sketches are equal.
-SKETCH_BANDS, SKETCH_ROWS = 6, 4
-SKETCH = SKETCH_BANDS * SKETCH_ROWS
-ALIKE = 16
-_random = random.Random(5)
-# The least hash after exclusive or with each of these is a min-hash of its own: their highest bits differ.
-_MASKS = [((j << 59) | _random.getrandbits(59)) - (1 << 63) for j in range(SKETCH)]
 
 
-def _with_windows(df: DataFrame, name: str, doubling: tuple[int, ...] = (1, 2, 4)) -> DataFrame:
+def _with_windows(df: DataFrame, name: str) -> DataFrame:
     """The word hashes in column ``name`` replaced by hashes of eight words, by doubling.
 
     Each step is a projection of its own, so that no array is computed twice.
     """
-    for by in doubling:
+    for by in (1, 2, 4):
         keep = F.greatest(F.size(name) - by, F.lit(0))
         pair = F.zip_with(F.slice(name, F.lit(1), keep), F.slice(name, F.lit(by + 1), keep), lambda a, b: F.xxhash64(a, b))
         df = df.withColumn(name, pair)
@@ -124,46 +116,27 @@ def _keyed(docs: DataFrame, doc_id: str, text: str, host: str) -> DataFrame:
 
 
 def _line_rows(keyed: DataFrame) -> DataFrame:
-    """One row per line with a word: its text's key, its hash and its number of words."""
+    """Written table, one row per line with a word: _id, _host, _key, _same (equal for like documents), place, _hash, _n (its words)."""
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    rows = keyed.select("_id", "_host", "_key", F.explode(lines).alias("_line"))
-    return rows.select("_id", "_host", "_key", F.xxhash64(normal_line(F.col("_line"))).alias("_hash"), F.size(words(F.col("_line"))).alias("_n"))
+    split = keyed.select("_id", "_host", "_key", lines.alias("_lines"))
+    hashed = split.withColumn("_hashes", F.transform("_lines", lambda x: F.xxhash64(normal_line(x))))
+    sizes = F.transform("_lines", lambda x: F.size(words(x)))
+    both = F.zip_with("_hashes", sizes, lambda h, n: F.struct(h.alias("_hash"), n.alias("_n")))
+    placed = hashed.select("_id", "_host", "_key", F.xxhash64("_hashes").alias("_same"), F.posexplode(both).alias("_place", "_line"))
+    return materialise(placed.select("_id", "_host", "_key", "_same", "_place", "_line.*"), "lines")
 
 
-def _classes(keyed: DataFrame) -> DataFrame:
-    """_host, _key and _class of each text of ``keyed``: near copies mostly share a class.
+def frequent_lines(docs: DataFrame, doc_id="doc_id", text="text", host="source", line_share=LINE_SHARE, line_docs=LINE_DOCS) -> DataFrame:
+    """Every place of a boilerplate line: _id, _host, _key, _place, _hash, _n (its words); once for equal rows."""
+    rows = _line_rows(_keyed(docs, doc_id, text, host))
+    hosts = rows.groupBy("_host").agg(F.count_distinct("_same").alias("_docs"))
+    often = rows.groupBy("_host", "_hash").agg(F.count_distinct("_same").alias("_in")).where(F.col("_in") > line_docs)
+    over = often.join(hosts, "_host").where(F.col("_in") > line_share * F.col("_docs")).select("_host", "_hash")
+    return rows.join(materialise(over, "frequent-lines"), ["_host", "_hash"], "left_semi").drop("_same").distinct()
 
-    A text joins the least key of each of its bands if their whole sketches are alike.
-    """
-    once = keyed.dropDuplicates(["_host", "_key"]).select("_host", "_key", F.transform(words(F.col("_text")), lambda w: F.xxhash64(w)).alias("_windows"))
-    windows = _with_windows(once, "_windows", (1, 2))
-    windows = windows.withColumn("_windows", F.when(F.size("_windows") > 0, F.col("_windows")).otherwise(F.array("_key")))
-    least = F.transform(F.array(*map(F.lit, _MASKS)), lambda m: F.array_min(F.transform("_windows", lambda x: x.bitwiseXOR(m))))
-    sketched = materialise(windows.select("_host", "_key", least.alias("_sketch")), "line-sketches")
-    bands = F.array(*[F.xxhash64(F.lit(k), F.slice("_sketch", k * SKETCH_ROWS + 1, SKETCH_ROWS)) for k in range(SKETCH_BANDS)])
-    placed = sketched.select("_host", "_key", "_sketch", F.explode(bands).alias("_band"))
-    centres = placed.groupBy("_host", "_band").agg(F.min(F.struct("_key", "_sketch")).alias("_centre"))
-    same = F.aggregate(F.zip_with("_sketch", "_centre._sketch", lambda a, b: (a == b).cast("int")), F.lit(0), lambda n, x: n + x)
-    near = F.when(same >= ALIKE, F.col("_centre._key")).otherwise(F.col("_key"))
-    return placed.join(centres, ["_host", "_band"]).groupBy("_host", "_key").agg(F.min(near).alias("_class"))
 
-
-def frequent_lines(docs: DataFrame, doc_id="doc_id", text="text", host="source", line_share=LINE_SHARE, line_docs=LINE_DOCS) -> DataFrame:
-    """Every occurrence of a boilerplate line: _id, _host, _key, _hash, _n (its words)."""
-    keyed = _keyed(docs, doc_id, text, host)
-    rows = _line_rows(keyed)
-    hosts = keyed.groupBy("_host").agg(F.count_distinct("_key").alias("_docs"))
-    often = rows.groupBy("_host", "_hash").agg(F.count_distinct("_key").alias("_in")).where(F.col("_in") > line_docs)
-    over = materialise(
-        often.join(hosts, "_host").where(F.col("_in") > line_share * F.col("_docs")).select("_host", "_hash", "_docs"),
-        "frequent-lines",
-    )
-    hits = materialise(rows.join(over, ["_host", "_hash"]), "frequent-line-places")
-    texts = hits.select("_host", "_key").distinct()
-    classes = _classes(keyed.join(texts, ["_host", "_key"], "left_semi"))
-    distinct = hits.join(classes, ["_host", "_key"]).groupBy("_host", "_hash", "_docs").agg(F.count_distinct("_class").alias("_in"))
-    spread = distinct.where((F.col("_in") > line_docs) & (F.col("_in") > line_share * F.col("_docs"))).select("_host", "_hash")
-    return hits.join(spread, ["_host", "_hash"], "left_semi").select("_id", "_host", "_key", "_hash", "_n")
+def _depleted(removed: Column, share: float) -> Column:
+    return removed > share * F.col("n_words")
 
 
 def quality_rules(docs: DataFrame, doc_id="doc_id", text="text", host="source", depleted_share=DEPLETED_SHARE, **limits) -> DataFrame:
@@ -172,24 +145,16 @@ def quality_rules(docs: DataFrame, doc_id="doc_id", text="text", host="source",
     ``limits``: line_share and line_docs of ``frequent_lines``.
     """
     same = ["_id", "_host", "_key"]
-    lost = frequent_lines(docs, doc_id, text, host, **limits).groupBy(*same, "_hash").agg(F.sum("_n").alias("_n"), F.count("*").alias("_c"))
+    removed = frequent_lines(docs, doc_id, text, host, **limits).groupBy(*same).agg(F.sum("_n").alias("removed_words"))
     copies = _keyed(docs, doc_id, text, host).select(*same, F.col(doc_id).alias("doc_id"), "_text")
-    counts = base_counts(copies, "_text").drop("_text")
-    # equal rows share a key and their lines are counted once per row
-    twins = counts.groupBy(*same).agg(F.count("*").alias("_twins"))
-    removed = lost.groupBy(*same).agg(F.sum("_n").alias("_removed")).join(twins, same).select(
-        *same, (F.col("_removed") / F.col("_twins")).cast("long").alias("removed_words")
-    )
-    joined = counts.join(removed, same, "left").fillna({"removed_words": 0})
-    depleted = F.col("removed_words") > depleted_share * F.col("n_words")
-    return joined.drop(*same).withColumn("kept", ~F.col("base_failed") & ~depleted)
+    joined = base_counts(copies, "_text").drop("_text").join(removed, same, "left").fillna({"removed_words": 0})
+    return joined.drop(*same).withColumn("kept", ~F.col("base_failed") & ~_depleted(F.col("removed_words"), depleted_share))
 
 
-def clean_documents(docs: DataFrame, doc_id="doc_id", text="text", host="source", **limits) -> DataFrame:
+def clean_documents(docs: DataFrame, doc_id="doc_id", text="text", host="source", depleted_share=DEPLETED_SHARE, **limits) -> DataFrame:
     """The kept documents without their boilerplate lines; columns as given, n_chars renewed if there."""
     same = ["_id", "_host", "_key"]
-    lost = materialise(frequent_lines(docs, doc_id, text, host, **limits), "boilerplate-lines")
-    gone = lost.groupBy(*same).agg(F.collect_set("_hash").alias("_gone"))
+    gone = frequent_lines(docs, doc_id, text, host, **limits).groupBy(*same).agg(F.collect_set("_hash").alias("_gone"))
     packed = docs.select(F.struct(*docs.columns).alias("_row"), *[F.col(c).alias(f"_given_{i}") for i, c in enumerate((doc_id, text, host))])
     keyed = _keyed(packed, "_given_0", "_given_1", "_given_2").select("_row", *same, "_text")
     counts = base_counts(keyed, "_text")
@@ -199,6 +164,6 @@ def clean_documents(docs: DataFrame, doc_id="doc_id", text="text", host="source"
     kept = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(left, "\n"))
     # judged in one pass and written, since a filter above the counts would be computed from the text again
     judged = joined.withColumn("_clean", kept)
-    stays = ~F.col("base_failed") & (F.size(words(F.col("_clean"))) >= (1 - DEPLETED_SHARE) * F.col("n_words"))
+    stays = ~F.col("base_failed") & ~_depleted(F.col("n_words") - F.size(words(F.col("_clean"))), depleted_share)
     judged = materialise(judged.select("_row", "_clean", stays.alias("_stays")), "judged-documents").where("_stays")
     return with_new_text(judged, docs.columns, text)

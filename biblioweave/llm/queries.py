@@ -33,11 +33,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-@query("op8_quality_rules", oracles.QUALITY)
+@query("op8_quality_rules", oracles.quality())
 def op8(spark, folder):
     return quality.quality_rules(table(spark, folder, "documents"))
 
 
+@query("quality_low_limits", oracles.quality(line_docs=2, line_share=0.02))
+def quality_low_limits(spark, folder):
+    """The rules with limits that small tables reach too."""
+    return quality.quality_rules(table(spark, folder, "documents"), line_docs=2, line_share=0.02)
+
+
 @query("op7_language_id")
 def op7(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")

@@ -169,22 +169,33 @@ def test_boilerplate_lines_are_removed(spark):
     assert clean[0] == body(0)
 
 
-def test_footers_and_long_lines_are_removed_but_not_near_copies(spark):
+def test_footers_long_lines_and_pages_of_boilerplate(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
     lines = lambda n, of: [" ".join(word() for _ in range(of)) for _ in range(n)]
-    footer, passage, copied = lines(5, 4), lines(1, 60), lines(30, 10)
+    footer, passage, common, copied = lines(5, 4), lines(1, 60), lines(5, 21), lines(30, 10)
     rows = [(i, "\n".join(lines(6, 10) + footer), "h") for i in range(60)]
     rows += [(100 + i, "\n".join(lines(10, 10) + passage + lines(1, 10)), "h") for i in range(60)]
-    rows += [(200 + i, "\n".join(copied[: i % 30] + lines(1, 10) + copied[i % 30 + 1 :]), "h") for i in range(120)]
+    rows += [(200 + i, "\n".join(common + lines(1, 10)), "h") for i in range(120)]
+    # copies up to case, digits and marks are one document (two here, with one digit and with two)
+    rows += [(400 + i, "\n".join(f"{x.upper() if i % 2 else x} {i}!" for x in copied), "h") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
     assert [found[i].removed_words for i in range(60)] == [20] * 60
     assert [found[100 + i].removed_words for i in range(60)] == [60] * 60
-    assert [found[200 + i].removed_words for i in range(120)] == [0] * 120
+    assert all(found[200 + i].removed_words == 105 and not found[200 + i].kept for i in range(120))
+    assert all(found[400 + i].removed_words == 0 and found[400 + i].kept for i in range(60))
     clean = {r.doc_id: r.text for r in quality.clean_documents(docs).collect()}
+    assert set(clean) == {i for i, r in found.items() if r.kept}
     assert all(not set(clean[i].split("\n")) & {*footer, *passage} for i in (*range(60), *range(100, 160)))
-    assert all(clean[i] == t for i, t, _ in rows[120:])
+    assert all(clean[i] == t for i, t, _ in rows[240:])
+
+
+def test_equal_rows_lose_their_words_once_each(spark):
+    rows = [(i, f"own{chr(97 + i)} words of text here\nall have this line", "h") for i in range(25)]
+    docs = spark.createDataFrame(rows + rows[:1] * 3, "doc_id long, text string, source string")
+    found = quality.quality_rules(docs).collect()
+    assert len(found) == 28 and {r.removed_words for r in found} == {4}
 
 
 def test_quality_of_messy_rows(messy, nothing):
