@@ -1,6 +1,9 @@
 """Encoding, packing, extraction, toxicity and language against plain code."""
 
+import html as references
 import random
+import re
+import time
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -129,6 +132,56 @@ def test_main_text_of_a_page():
     assert html.learn_tree().decide(html.LABELLED[:, :-1]).mean() == pytest.approx(html.LABELLED[:, -1].mean(), abs=0.05)
 
 
+LONG = "Sixty words of text are here so that nobody takes this for a menu or a note, " * 4
+ARTICLE = f"<h1>On rivers</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p>"
+WANTED = f"On rivers\n{LONG.strip()}\nShort.\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout has-sidebar"><article>{ARTICLE}</article></div>',
+        f'<div class="page-header-fixed"><nav><a href="/">Home</a></nav><article>{ARTICLE}</article><footer>c 2020</footer></div>',
+        f'<form id="form1" action="/"><div class="sidebar">Note of the day</div><article>{ARTICLE}</article></form>',
+        f'<form class="search"><div>{ARTICLE}</div></form>',
+        f'<main><div class="search-results">{ARTICLE}</div></main>',
+        f'<article><div class="form-of-life"><section class="related-work">{ARTICLE}</section></div></article>',
+        f'<article>{ARTICLE}</article><div class="related"><article><h2>Other</h2><p>{LONG}</p></article></div>',
+        f'<article>{ARTICLE}</article><div id="comments"><article class="comment-body"><p>{LONG * 9}</p></article></div>',
+        f'<article>{ARTICLE}<ul><li><a href="/1">One more</a></li><li><a href="/2">Two more</a></li><li><a href="/3">Three more</a></li></ul></article>',
+        f'<div class="site-header">Site</div><article><header class="header">{ARTICLE}</header></article><div class="cookie-notice">We use cookies</div>',
+        f'<article>{ARTICLE}</article><aside><article><p>{LONG * 9}</p></article></aside>',
+    ],
+)
+def test_main_text_within_wrappers(page):
+    assert html.main_text(f"<html><body>{page}</body></html>", html.learn_tree()) == WANTED
+
+
+def test_links_within_the_text_stay():
+    page = f'<article><p>{LONG}</p><p><a href="/s">The source</a></p><p>{LONG}</p></article>'
+    assert html.main_text(page, html.learn_tree()) == f"{LONG.strip()}\nThe source\n{LONG.strip()}"
+
+
+@pytest.mark.parametrize("broken", ["<div></ul>", "<select>", "<noscript>x", '<a "x>" ', "<a '", "<", "<!-", "<p class=\"a", "<li><a>", "</div>", "&amp", "<a <b"])
+def test_broken_markup_takes_time_in_proportion(broken):
+    tree = html.learn_tree()
+    for extra in ("", '"', ">"):
+        page = broken * (1_000_000 // len(broken)) + extra
+        start = time.monotonic()
+        html.main_text(page, tree)
+        assert time.monotonic() - start < 10
+
+
+def test_main_text_is_the_article_of_every_page(spark):
+    """The pages of the smallest table hold their text in one article without wrappers."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for r in html.extract(pages, keep=["html"]).collect():
+        inner = re.search(r"<article>(.*?)</article>", r.row.html, re.S)[1]
+        parts = re.split(r"</?(?:h1|p)>", inner)
+        plain = [" ".join(references.unescape(re.sub(r"<[^>]*>", lambda m: " " if m[0] == "<br>" else "", x)).split()) for x in parts]
+        assert r.main_text == "\n".join(x for x in plain if x)
+
+
 def test_main_text_of_rows(spark):
     pages = spark.createDataFrame([(1, None, "u"), (2, "", "u"), (3, PAGE, None), (3, PAGE, None)], "page_id long, html string, row string")
     found = [r.main_text for r in html.extract(pages).orderBy("row.page_id").collect()]
