@@ -1,31 +1,36 @@
 """Personal data: base patterns and information-theoretic sanitisation, with DataFrame functions only.
 
 Protected entities are the distinct values that the base patterns find.  The
-corpus tells how strongly a term reveals an entity: with f(c, t) the occurrences
-of term t near entity c, f(c) all terms near c, f(t) all occurrences of t and N
-all terms of the corpus, their mutual information log2(f(c, t) N / (f(c) f(t)))
-is set against what knowing the entity is worth, log2(N / f(c)).  A term near an
-entity that reveals GENERALISE of it or more is generalised, from REMOVE on it
-is removed.  A term counts only if it is near the entity in SUPPORT different
-texts, since a single meeting says nothing.
-
-Null texts are empty.  Copies of a text count as documents of their own, but as one
-text for SUPPORT; all get the same spans.  A very long text with m matches of one kind takes of the
-order of m * m steps.  An empty table gives an empty result.
+corpus tells how strongly a term reveals an entity c: of N documents n(c) hold
+it, n(t) hold the term t, and n(c, t) both.  With the smoothed estimate
+p(c | t) = (n(c, t) + n(c) / N) / (n(t) + 1), the mutual information of term and
+entity is log2(p(c | t) N / n(c)), and the doubt that is left about the entity
+once the term is known is log2(N / n(c)) less this, log2(1 / p(c | t)) bits.  In all
+documents with the entity, a term that leaves GENERALISE bits or less is
+generalised, one that leaves REMOVE or less is removed, wherever it stands.  It
+counts only if so many meetings are unlikely by chance: exp(-n(t) KL) is at most
+CHANCE, KL being the divergence of n(c, t) / n(t) from n(c) / N.  So a word that is
+in no document but the one with the entity is generalised in any corpus of
+more than 1 / CHANCE documents, and nothing is in a smaller one.
+
+Terms are runs of letters outside of e-mail addresses, in lower case.  Null texts
+are empty.  Copies of a text are documents of their own and get the same spans.
+Entities that one text alone holds stand for each other there.  A very long text
+with m matches of one kind takes of the order of m * m steps.  An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from biblioweave.llm.common import whole, with_new_text
 from biblioweave.session import materialise
 
-CONTEXT_CHARS = 64
-SUPPORT = 3
-GENERALISE = 0.6
-REMOVE = 0.9
+GENERALISE = 1.0
+REMOVE = 0.25
+CHANCE = 0.01
 TERM = r"\p{L}[\p{L}'-]*+"
 
 # The base patterns, written so that no run of characters is read from each of its places again:
@@ -104,70 +109,78 @@ def _kept(kind: str) -> Column:
     return F.filter(f"_{kind}", lambda s: _passes(kind, s["value"]))
 
 
-def _near_terms(with_spans: DataFrame) -> DataFrame:
-    """Written table of the terms near entities: key (of the text), entity, term, start, end, copies; once for each text."""
-    some = with_spans.where(F.size("_base") > 0).select(F.md5("_text").alias("key"), "_text", "_base")
-    rows = some.select("key", "_text", "_base", F.explode("_base").alias("e"))
-    before = F.greatest(F.col("e.start") - CONTEXT_CHARS - 1, F.lit(0))
-    sides = F.array(
-        F.struct(before.alias("from"), F.substring("_text", before + 1, F.col("e.start") - before).alias("side"), (before > 0).alias("cut_left"), F.lit(False).alias("cut_right")),
-        F.struct(
-            F.col("e.end").alias("from"),
-            F.substring("_text", F.col("e.end") + 1, F.lit(CONTEXT_CHARS + 1)).alias("side"),
-            F.lit(False).alias("cut_left"),
-            (F.length("_text") > F.col("e.end") + CONTEXT_CHARS + 1).alias("cut_right"),
-        ),
-    )
-    rows = rows.select("key", "_base", F.concat_ws(":", "e.kind", "e.value").alias("entity"), F.explode(sides).alias("s"))
-    rows = rows.select("key", "_base", "entity", "s.*")
-    rows = _with_places(rows, "side", TERM, F.lit(True), "term", "_terms")
-    rows = rows.select(
-        "key", "_base", "entity", "from", "cut_left", "cut_right", F.length("side").alias("size"), F.explode("_terms").alias("t")
-    )
-    whole_word = ~(F.col("cut_left") & (F.col("t.start") == 0)) & ~(F.col("cut_right") & (F.col("t.end") == F.col("size")))
-    rows = rows.where(whole_word).withColumns({"start": F.col("from") + F.col("t.start"), "end": F.col("from") + F.col("t.end")})
-    free = ~F.exists("_base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
-    near = rows.where(free).select("key", "entity", F.lower("t.value").alias("term"), "start", "end").distinct()
-    copies = some.groupBy("key").agg(F.count("*").alias("copies"))
-    return materialise(near.join(copies, "key"), "terms-near-entities")
-
-
-def disclosing_terms(docs: DataFrame, near: DataFrame, text: str = "text", support: int = SUPPORT, at_least: float = GENERALISE) -> DataFrame:
-    """Written table of entity, term and share: how much of the entity the term reveals."""
-    met = near.groupBy("entity", "term").agg(F.sum("copies").alias("together"), F.count_distinct("key").alias("texts"))
-    around = near.groupBy("entity").agg(F.sum("copies").alias("around"))
-    pairs = materialise(met.where(F.col("texts") >= support).join(around, "entity").drop("texts"), "entity-terms")
-    if pairs.isEmpty():
-        return pairs.select("entity", "term", F.lit(0.0).alias("share"))
-    terms = docs.select(F.explode(F.regexp_extract_all(F.lower(whole(F.col(text))), F.lit(TERM), F.lit(0))).alias("term"))
-    wanted = pairs.select("term").distinct()
-    counted = materialise(
-        terms.join(wanted.withColumn("wanted", F.lit(True)), "term", "left")
-        .groupBy(F.when(F.col("wanted"), F.col("term")).alias("term"))
-        .agg(F.count("*").alias("everywhere")),
-        "term-counts",
+def _terms(text: Column) -> Column:
+    """The terms of a text in lower case, those of e-mail addresses left out."""
+    bare = F.when(HINTS["email"](text), F.regexp_replace(text, PATTERNS["email"], " ")).otherwise(text)
+    return F.regexp_extract_all(F.lower(bare), F.lit(TERM), F.lit(0))
+
+
+def _involved(docs: DataFrame) -> DataFrame:
+    """Written table of the distinct texts with an entity: key, copies, _text and its entities."""
+    some = with_base_spans(docs).where(F.size("_base") > 0)
+    entities = F.array_distinct(F.transform("_base", lambda b: F.concat_ws(":", b["kind"], b["value"])))
+    keyed = some.select(F.md5("_text").alias("key"), "_text", entities.alias("entities"))
+    once = keyed.groupBy("key").agg(F.count("*").alias("copies"), F.first("_text").alias("_text"), F.first("entities").alias("entities"))
+    return materialise(once, "texts-with-entities")
+
+
+def disclosing_terms(docs: DataFrame, involved: DataFrame, text: str = "text", generalise: float = GENERALISE, chance: float = CHANCE) -> DataFrame:
+    """Written table of key (of a text), entity, term and revealed, the estimate of p(c | t), for all terms to change.
+
+    An entity that no other text holds is named by the text's key.
+    """
+    total = float(max(1, docs.count()))
+    least = 2.0**-generalise
+    counted = docs.select(F.explode(F.array_distinct(_terms(whole(F.col(text))))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    own = involved.select("key", "copies", F.explode(F.array_distinct(_terms(F.col("_text")))).alias("term"))
+    held = involved.select("key", "copies", F.explode("entities").alias("entity"))
+    sizes = held.groupBy("entity").agg(F.sum("copies").alias("with_entity"))
+    alone = F.col("with_entity") == F.col("copies")
+    named = held.join(sizes, "entity").select("key", F.when(alone, F.col("key")).otherwise(F.col("entity")).alias("entity"), "with_entity").distinct()
+    # no more documents can hold both than hold the entity, so frequent terms go before they meet it
+    most = F.col("with_entity") * (1 + 1 / F.lit(total))
+    met = own.join(counted, "term").join(named, "key").where(most >= least * (F.col("with_term") + 1))
+    met = materialise(met.select("key", "copies", "entity", "term", "with_entity", "with_term"), "terms-met")
+    both = met.groupBy("entity", "term").agg(F.sum("copies").alias("both"), F.max("with_entity").alias("c"), F.max("with_term").alias("t"))
+    p, q = F.col("c") / F.lit(total), F.col("both") / F.col("t")
+    rest = F.when(q < 1, (1 - q) * F.log((1 - q) / (1 - p))).otherwise(0.0)
+    by_chance = F.exp(-F.col("t") * (q * F.log(q / p) + rest))
+    telling = both.withColumn("revealed", (F.col("both") + p) / (F.col("t") + 1)).where(
+        (F.col("revealed") >= least) & (q > p) & (by_chance <= chance)
     )
-    total = counted.agg(F.sum("everywhere")).first()[0]
-    shared = F.log2(F.col("together") * F.lit(float(total)) / (F.col("around") * F.col("everywhere")))
-    worth = F.log2(F.lit(float(total)) / F.col("around"))
-    found = pairs.join(counted, "term").withColumn("share", F.when(worth > 0, shared / worth).otherwise(0.0))
-    return materialise(found.where(F.col("share") >= at_least).select("entity", "term", "share"), "disclosing-terms")
+    told = met.select("key", "entity", "term").join(telling.select("entity", "term", "revealed"), ["entity", "term"])
+    return materialise(told, "disclosing-terms")
+
+
+def _places(involved: DataFrame) -> DataFrame:
+    """key, term, start and end of every term of the texts, by running sums over what lies between and in the terms."""
+    none = F.array().cast("array<string>")
+    split = involved.select("key", F.split("_text", TERM, -1).alias("gaps"), F.regexp_extract_all("_text", F.lit(TERM), F.lit(0)).alias("found"))
+    steps = F.zip_with("gaps", F.coalesce("found", none), lambda gap, value: F.struct(F.length(gap).alias("gap"), value.alias("value")))
+    rows = split.select("key", F.posexplode(steps).alias("at", "x")).where("x.value IS NOT NULL")
+    order = Window.partitionBy("key").orderBy("at")
+    end = F.sum(F.col("x.gap") + F.length("x.value")).over(order).cast("int")
+    return rows.select("key", F.lower("x.value").alias("term"), (end - F.length("x.value")).alias("start"), end.alias("end"))
 
 
-def find_personal_data(docs: DataFrame, text: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def find_personal_data(
+    docs: DataFrame, text: str = "text", generalise: float = GENERALISE, remove: float = REMOVE, chance: float = CHANCE
+) -> DataFrame:
     """``docs`` with _text, _base and _extra: base spans, and terms to generalise (kind term) or remove (kind removed)."""
     plain = docs.select(F.col(text).alias("text"))
-    near = _near_terms(with_base_spans(plain))
-    telling = disclosing_terms(plain, near, "text", support, generalise)
-    most = near.join(telling, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("share").alias("share"))
-    kind = F.when(F.col("share") >= remove, "removed").otherwise("term")
+    involved = _involved(plain)
+    telling = disclosing_terms(plain, involved, "text", generalise, chance)
+    best = telling.groupBy("key", "term").agg(F.max("revealed").alias("revealed"))
+    chosen = involved.join(best.select("key").distinct(), "key", "left_semi")
+    kind = F.when(F.col("revealed") >= 2.0**-remove, "removed").otherwise("term")
     span = F.struct(kind.alias("kind"), "start", "end", F.lit("").alias("value"))
-    extra = materialise(most.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("_extra")), "extra-spans")
+    placed = _places(chosen).join(best, ["key", "term"])
+    extra = materialise(placed.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("_marked")), "extra-spans")
     found = with_base_spans(docs, text)
-    if extra.isEmpty():
-        return found.withColumn("_extra", F.array().cast(SPAN))
-    keyed = found.withColumn("_key", F.md5("_text")).join(extra.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
-    return keyed.withColumn("_extra", F.coalesce("_extra", F.array().cast(SPAN)))
+    keyed = found.withColumn("_key", F.when(F.size("_base") > 0, F.md5("_text")))
+    keyed = keyed.join(extra.withColumnRenamed("key", "_key"), "_key", "left").drop("_key")
+    free = F.filter("_marked", lambda m: ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
+    return keyed.withColumn("_extra", F.coalesce(free, F.array().cast(SPAN))).drop("_marked")
 
 
 def as_text(spans: Column) -> Column:

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -129,6 +130,46 @@ def test_terms_that_disclose_an_entity(spark):
     assert "Zanzibar" not in clean[0] and "[EMAIL]" in clean[0] and "write" in clean[100]
 
 
+def plain_extra(texts, least=0.5, most=2**-0.25, chance=0.01):
+    """Places of the terms to change in each text, counted in plain code."""
+    term = regex.compile(r"\p{L}[\p{L}'-]*+")
+    terms = [set(term.findall(re.sub(BASE["email"], " ", t).lower())) for t in texts]
+    spans = [plain_spans(t) for t in texts]
+    entities = [{(k, t[a:b]) for k, a, b in s} for t, s in zip(texts, spans)]
+    n, with_term, with_entity, both = len(texts), Counter(), Counter(), Counter()
+    for ts, es in zip(terms, entities):
+        with_term.update(ts)
+        with_entity.update(es)
+        both.update((e, t) for e in es for t in ts)
+
+    def revealed(e, t):
+        p, q = with_entity[e] / n, both[e, t] / with_term[t]
+        if q <= p:
+            return 0
+        kl = q * math.log(q / p) + (0 if q == 1 else (1 - q) * math.log((1 - q) / (1 - p)))
+        return (both[e, t] + p) / (with_term[t] + 1) if math.exp(-with_term[t] * kl) <= chance else 0
+
+    found = []
+    for text, ts, es, base in zip(texts, terms, entities, spans):
+        best = {t: max((revealed(e, t) for e in es), default=0) for t in ts}
+        marks = [(m.start(), m.end(), best.get(m[0].lower(), 0)) for m in term.finditer(text)] if es else []
+        free = [(a, b, p) for a, b, p in marks if p >= least and not any(c < b and a < d for _, c, d in base)]
+        found.append(sorted(("removed" if p >= most else "term", a, b) for a, b, p in free))
+    return found
+
+
+def test_disclosing_terms_against_plain_code(spark, documents):
+    texts = [r.text or "" for r in documents.select("text").collect()]
+    texts += [f"Kanzler of {w} wrote to bob.1@x.example.com and bob.1@x.example.com on the Kanzler, {i % 3}" for i, w in enumerate(["alpha"] * 9)]
+    texts += ["Kanzler alone", "", "1.2.3.4 unmet words 1.2.3.4 unmet", "a@b.cd 1.2.3.4 shared"] + ["copied c@d.ef zweimal"] * 2
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(s.kind, s.start, s.end) for s in r["_extra"]] for r in privacy.find_personal_data(rows).collect()}
+    wanted = plain_extra(texts)
+    assert [found[i] for i in range(len(texts))] == wanted
+    kinds = Counter(kind for x in wanted for kind, _, _ in x)
+    assert kinds["term"] > 20 and kinds["removed"] >= 18
+
+
 def test_sanitising_messy_rows(messy, nothing):
     clean = privacy.sanitise(messy)
     assert clean.columns == messy.columns and clean.count() == messy.count()
