@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,3 +57,29 @@ def test_ties_in_a_cell_go_by_id(spark, many_cells):
     requests = spark.createDataFrame([(1, "same words"), (2, "unknown"), (3, "other same")], "req_id long, biblio string")
     got = {(r.req_id, r.id) for r in search.match_biblio(requests, index).collect()}
     assert got == {(1, 0), (1, 1), (1, 2), (1, 3), (3, 1_000), (3, 0), (3, 1), (3, 2)}
+
+
+def test_few_records_of_a_cell_are_scored_in_full(monkeypatch):
+    pick = np.random.default_rng(5)
+    texts = [np.unique(np.append(pick.zipf(1.3, 40) % 3_000, 5_000 + i // 6)) for i in range(1_500)]
+    words = pa.array([[f"0{w}" for w in t] for t in texts])
+    table = pa.table({
+        "id": pa.array(range(1_500)), "norm": np.full(1_500, 1.2), "tokens": words, "tfs": pa.array([[1] * len(t) for t in texts]),
+    })
+    vocabulary = pa.array(sorted({w for t in words.to_pylist() for w in t}))
+    held = cells.Records(pa.table({c: pa.chunked_array([table[c].combine_chunks()]) for c in table.column_names}), vocabulary)
+    idf = np.log1p((1_500 - np.diff(held.start) + 0.5) / (np.diff(held.start) + 0.5))
+    scored, whole = [], held._scores
+    monkeypatch.setattr(held, "_scores", lambda chosen, *rest: scored.append(len(chosen)) or whole(chosen, *rest))
+    place = {w: k for k, w in enumerate(vocabulary.to_pylist())}
+    for ask in range(0, 1_500, 50):
+        codes = np.array([place[w] for w in words[ask].as_py()])
+        chosen, scores = held.best(codes, idf[codes], 4)
+        every = np.zeros(1_500)
+        for c in codes:
+            every[held.at[held.start[c] : held.start[c + 1]]] += idf[c] / 2.2
+        want = sorted(range(1_500), key=lambda i: (-round(every[i], 6), i))[:4]
+        got = sorted(zip(chosen.tolist(), scores), key=lambda x: (-round(x[1], 6), x[0]))[:4]
+        assert [g[0] for g in got] == want
+        assert np.allclose([g[1] for g in got], every[want])
+    assert np.mean(scored) < 100
