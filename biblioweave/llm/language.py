@@ -22,11 +22,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biblioweave.llm.common import carried, steps, texts
+from biblioweave.llm.common import carried, sized_steps, texts
 
 PROFILE_SIZE = 300
 UNDETERMINED = "und"
 MERGE_EVERY = 16
+# A step takes about a hundred bytes for each of its characters.
+STEP_BYTES = 300_000
 _CHAR_BITS = 11
 
 
@@ -87,7 +89,7 @@ def _count_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         keys, counts = zip(*waiting[lang])
         waiting[lang] = [_counted(np.concatenate(keys), np.concatenate(counts))]
 
-    for batch in steps(batches):
+    for batch in sized_steps(batches, 1, STEP_BYTES):
         by: dict[str, list[str]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
             by.setdefault(lang, []).append(text)
@@ -153,7 +155,7 @@ def identify(docs: DataFrame, learn_from: Column, text="text", lang="lang", size
     profiles = Profiles(learn_profiles(docs.where(learn_from), text, lang, size).collect(), size)
 
     def predict(batches):
-        for batch in steps(batches):
+        for batch in sized_steps(batches, 1, STEP_BYTES):
             langs, scores = profiles.nearest(texts(batch.column(1)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["row", "lang_pred", "score"]

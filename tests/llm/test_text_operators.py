@@ -304,3 +304,23 @@ def test_every_half_window_of_words_lies_in_one_window():
     for n in (40, 100, 331):
         _, begin, count = toxicity.Words([" ".join(["word"] * n)]).windows()
         assert all(any(b <= at and at + half <= b + c for b, c in zip(begin, count)) for at in range(n - half + 1))
+
+
+def test_language_steps_take_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+    from biblioweave.llm import common, language
+
+    docs = ["the words of a text and some more of them " * 120] * 600 + ["lang " * 100_000, None, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(docs)), pa.array(docs, pa.string())], ["lang", "text"])
+    parts = list(common.sized_steps([batch], 1, 300_000))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == docs
+    language._letter_codes()
+    tracemalloc.start()
+    counted = {r["gram"]: r["n"] for b in language._count_partition([batch]) for r in b.to_pylist()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    grams, n = language._counted(language.grams([d or "" for d in docs])[1])
+    assert counted == dict(zip(grams.tolist(), n.tolist()))
+    assert peak < 100e6
