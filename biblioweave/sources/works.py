@@ -90,11 +90,22 @@ def read_works_jsonl(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_works(spark.read.text(path).select("value", line_place()))
 
 
+API_PAGE = "message struct<`next-cursor`:string,items:array<string>>"
+
+
+def _whole_objects(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
+    """Each file, plain or gzip, as one JSON object, nested objects as the text they are.
+
+    A file is one record that ends with a NUL, which no JSON has, so its bytes are parsed
+    from memory: the multi-line reader goes back to the file for every nested object.
+    """
+    return spark.read.schema(schema).option("lineSep", "\u0000").json(path)
+
+
 def read_works_array(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Files that are one object with an ``items`` array."""
-    items = (
-        spark.read.schema("items array<string>").option("multiLine", True).json(path)
-        .select(place_of(F.lit(0), F.lit(0)).alias("file"), F.posexplode("items").alias("line", "value"))
+    items = _whole_objects(spark, path, "items array<string>").select(
+        place_of(F.lit(0), F.lit(0)).alias("file"), F.posexplode("items").alias("line", "value")
     )
     return parse_works(_placed_items(items))
 
@@ -106,14 +117,9 @@ def _placed_items(items: DataFrame) -> DataFrame:
 
 def read_api_pages(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Landed pages of the update API: ``message.items`` of each file."""
-    items = (
-        spark.read.schema("message struct<`next-cursor`:string,items:array<string>>")
-        .option("multiLine", True)
-        .json(path)
-        .select(
-            place_of(F.lit(0), F.lit(0)).alias("file"),
-            F.posexplode("message.items").alias("line", "value"),
-        )
+    items = _whole_objects(spark, path, API_PAGE).select(
+        place_of(F.lit(0), F.lit(0)).alias("file"),
+        F.posexplode("message.items").alias("line", "value"),
     )
     return parse_works(_placed_items(items))
 
@@ -124,12 +130,11 @@ def page_cursors(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
     A chain of pages has each cursor once; a repeated one was landed twice or did not go on.
     """
-    pages = (
-        spark.read.schema("message struct<`next-cursor`:string,items:array<string>>")
-        .option("multiLine", True).json(path)
-        .select(F.col("message.next-cursor").alias("next_cursor"), F.coalesce(F.size("message.items"), F.lit(0)).alias("items"),
-                F.col("_metadata.file_path").alias("file"))
-    )
+    message = F.col("message")
+    pages = _whole_objects(spark, path, API_PAGE).select(
+        message["next-cursor"].alias("next_cursor"), F.coalesce(F.size(message["items"]), F.lit(0)).alias("items"),
+        F.col("_metadata.file_path").alias("file"),
+    )
     return pages.groupBy("next_cursor").agg(
         F.count("*").alias("pages"), F.sum("items").alias("items"), F.sort_array(F.collect_list("file")).alias("files"),
         (F.count("*") > 1).alias("repeated"),

@@ -425,3 +425,23 @@ def test_references_of_records_without_pmid_are_filled(spark):
     filled = sorted([(x.pmid, x.doi, x.pmc) for x in r["references"]] for r in got if r["references"])
     assert filled == [[("5", "10.1/x", "PMC5")], [("6", "10.1/y", "PMC6")] * 2]
     assert len(got) == 3
+
+
+def test_items_keep_their_text_and_files_are_read_once(spark, tmp_path):
+    items = ['{"DOI": "10.1/é", "n":1.10,  "a":["x\\u00e9", 1e2]}', '{"DOI":"10.1/b"}']
+    body = '\ufeff{"message":{"next-cursor":"c","items":[' + ",\n".join(items) + ']}}'
+    (tmp_path / "p").mkdir()
+    write(tmp_path / "p" / "a.json", body)
+    write(tmp_path / "p" / "b.json.gz", body, gzip.open)
+    write(tmp_path / "p" / "c.json", '{"message":')
+    pages = works.read_api_pages(spark, str(tmp_path / "p"))
+    assert sorted(r.doi for r in pages.collect()) == ["10.1/b", "10.1/b", "10.1/é", "10.1/é"]
+    assert {r.json for r in pages.collect()} == set(items)
+    write(tmp_path / "w.json", '{"items":[' + ",".join(items) + "]}")
+    arrays = works.read_works_array(spark, str(tmp_path / "w.json"))
+    assert {r.json for r in arrays.collect()} == set(items)
+    # the multi-line reader went back to a plain file for each item, and changed the text of those in a gzip file
+    for rows in (pages, arrays):
+        logical = rows._jdf.queryExecution().optimizedPlan()
+        options = logical.collectLeaves().head().relation().options()
+        assert options.get("multiLine").isEmpty() and options.get("lineSep").isDefined()
