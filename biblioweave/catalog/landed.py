@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +20,7 @@ from biblioweave.sources import idfiles, sinks, works, xml
 from biblioweave.streaming.updates import current_rows, stream_work_updates
 
 S = T.S
+RECORDS_PER_UPDATE = 100_000
 
 
 def _text(*parts: str | Column) -> Column:
@@ -334,14 +336,16 @@ def write_oa_hits(t: Tables):
     """SELECT '10.9/e' || event_id AS doi, event_type AS type, true AS cleaned FROM events""",
 )
 def clean_applied_files(t: Tables):
-    """Events in three files and an empty one, a file a batch; files of completed batches are deleted."""
+    """Events in three batches of files and an empty file; files of completed batches are deleted."""
     root = scratch_path(t.spark, "cleaned")
     landing = f"{root}/landing"
-    _record(t).repartition(3).select("value").write.option("compression", "gzip").text(landing)
+    # one task reads a gzip file, so files are bounded and a batch has more of them
+    per_batch = max(1, math.ceil(t.events.count() / (3 * RECORDS_PER_UPDATE)))
+    _record(t).repartition(3 * per_batch).select("value").write.option("compression", "gzip").text(landing)
     t.events.limit(0).select(F.lit("").alias("value")).coalesce(1).write.mode("append").option("compression", "gzip").text(landing)
     before = t.spark.read.format("binaryFile").load(landing).select("path").count()
     stream_work_updates(
-        t.spark, landing, f"{root}/tables", f"{root}/checkpoint", files="*.gz", files_per_batch=1, clean=True
+        t.spark, landing, f"{root}/tables", f"{root}/checkpoint", files="*.gz", files_per_batch=per_batch, clean=True
     ).awaitTermination()
     left = t.spark.read.format("binaryFile").load(landing).select("path").count()
     rows = current_rows(t.spark, f"{root}/tables/works", key="doi")

@@ -445,3 +445,23 @@ def test_items_keep_their_text_and_files_are_read_once(spark, tmp_path):
         logical = rows._jdf.queryExecution().optimizedPlan()
         options = logical.collectLeaves().head().relation().options()
         assert options.get("multiLine").isEmpty() and options.get("lineSep").isDefined()
+
+
+def test_update_files_are_bounded_not_three(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from biblioweave.catalog import landed
+    from biblioweave.streaming import updates
+
+    events = spark.range(100).select(F.col("id").alias("event_id"), F.lit("view").alias("event_type"), F.lit(1).alias("user_id"))
+    seen = {}
+
+    def stream(session, landing, *rest, **options):
+        seen.update(options, count=session.read.format("binaryFile").load(landing).count(), largest=max(r.n for r in spark.read.text(landing).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()))
+        return updates.stream_work_updates(session, landing, *rest, **options)
+
+    monkeypatch.setattr(landed, "RECORDS_PER_UPDATE", 10)
+    monkeypatch.setattr(landed, "stream_work_updates", stream)
+    rows = landed.clean_applied_files(SimpleNamespace(spark=spark, events=events)).collect()
+    assert seen["count"] == 13 and seen["largest"] <= 20 and seen["files_per_batch"] == 4
+    assert {r.doi for r in rows} == {f"10.9/e{k}" for k in range(100)} and all(r.cleaned for r in rows)
