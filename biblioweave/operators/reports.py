@@ -11,7 +11,7 @@ from biblioweave.functions.mesh import has_major_topic
 from biblioweave.functions.people import author_list
 from biblioweave.functions.text import clean_article_title, not_blank, null_if_blank
 from biblioweave.operators.keys import latest_per_key, left_lookup
-from biblioweave.operators.tables import biblio_to_work, fill_missing_ids, fill_reference_ids
+from biblioweave.operators.tables import biblio_to_work, fill_missing_ids, filled_references, numbered_records
 from biblioweave.schemas import EXPORT_COLUMNS
 
 
@@ -189,12 +189,20 @@ def export_records_csv(biblio: DataFrame) -> DataFrame:
 
 
 def export_medline_as_works(biblio: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
-    """Work records as JSON of MEDLINE rows, ids completed from the id maps."""
-    filled = fill_missing_ids(biblio, maps, spread_by="pmid")
-    filled = fill_reference_ids(filled, maps)
-    filled = left_lookup(
-        filled, F.col("pmc"), maps["pmcid"], "pmcid",
-        {"license": "license", "subpath": "subpath"}, spread_by="pmid",
+    """Work records as JSON of MEDLINE rows, ids completed from the id maps.
+
+    Only ids go through the lookups; a record itself is moved once, to meet its ids
+    and references by its number.
+    """
+    rows = numbered_records(biblio)
+    ids = fill_missing_ids(rows.select("_owner", "pmid", "doi", "pmc"), maps, spread_by="_owner")
+    ids = left_lookup(
+        ids, F.col("pmc"), maps["pmcid"], "pmcid",
+        {"license": "license", "subpath": "subpath"}, spread_by="_owner",
+    )
+    filled = (
+        rows.drop("pmid", "doi", "pmc").join(ids, "_owner").join(filled_references(rows, maps), "_owner", "left")
+        .withColumn("references", F.coalesce("_references", "references"))
     )
     return biblio_to_work(filled, source="pubmed").select("pmid", "doi", "json")
 

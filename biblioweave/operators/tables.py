@@ -318,22 +318,20 @@ def fill_missing_ids(
     ).drop("_doi1", "_doi2", "_pmc1", "_pmc3", "_pmid2", "_pmid3")
 
 
-def fill_reference_ids(
-    biblio: DataFrame, maps: dict[str, DataFrame]
-) -> DataFrame:
-    """``fill_missing_ids`` for the references of each record, order kept.
+def numbered_records(biblio: DataFrame) -> DataFrame:
+    """The records with ``_owner``, a number of their own, written so that it stays."""
+    return materialise(biblio.withColumn("_owner", F.monotonically_increasing_id()), "numbered-records")
 
-    Records are numbered and written once, so a record's references find it again by
-    its number; no list of references, however common, is a key.
-    """
-    rows = materialise(biblio.withColumn("_owner", F.monotonically_increasing_id()), "numbered-records")
+
+def filled_references(rows: DataFrame, maps: dict[str, DataFrame]) -> DataFrame:
+    """``_owner, _references`` of numbered records with references: ids filled, order kept."""
     refs = rows.filter(F.size("references") > 0).select("_owner", F.posexplode("references").alias("_pos", "r"))
     refs = refs.select(
         "_owner", "_pos", "r.unstructured", "r.pmid", "r.doi", "r.pmc", "r.pii"
     )
     refs = refs.withColumn("_ref", F.concat_ws("#", "_owner", "_pos"))
     filled = fill_missing_ids(refs, maps, spread_by="_ref")
-    regrouped = filled.groupBy("_owner").agg(
+    return filled.groupBy("_owner").agg(
         F.transform(
             F.array_sort(
                 F.collect_list(F.struct("_pos", "unstructured", "pmid", "doi", "pmc", "pii"))
@@ -344,7 +342,18 @@ def fill_reference_ids(
             ),
         ).alias("_references")
     )
-    joined = rows.join(regrouped, "_owner", "left")
+
+
+def fill_reference_ids(
+    biblio: DataFrame, maps: dict[str, DataFrame]
+) -> DataFrame:
+    """``fill_missing_ids`` for the references of each record, order kept.
+
+    Records are numbered and written once, so a record's references find it again by
+    its number; no list of references, however common, is a key.
+    """
+    rows = numbered_records(biblio)
+    joined = rows.join(filled_references(rows, maps), "_owner", "left")
     return joined.withColumn("references", F.coalesce("_references", "references")).select(
         *biblio.columns
     )

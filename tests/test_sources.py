@@ -465,3 +465,21 @@ def test_update_files_are_bounded_not_three(spark, monkeypatch):
     rows = landed.clean_applied_files(SimpleNamespace(spark=spark, events=events)).collect()
     assert seen["count"] == 13 and seen["largest"] <= 20 and seen["files_per_batch"] == 4
     assert {r.doi for r in rows} == {f"10.9/e{k}" for k in range(100)} and all(r.cleaned for r in rows)
+
+
+def test_medline_export_moves_records_once(spark):
+    from biblioweave.catalog import Tables
+    from biblioweave.catalog import shapes
+    from biblioweave.operators.reports import export_medline_as_works
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        works_rows = export_medline_as_works(shapes.order_biblio(t), tables.build_pmid_maps(shapes.pmid_rows(t)))
+        text = works_rows._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    blocks = [b for b in text.split("\n\n") if ") Exchange\n" in b]
+    assert len(blocks) > 5
+    assert sum("article_title#" in b.split("Arguments")[0] for b in blocks) == 1
