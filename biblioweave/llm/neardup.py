@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from biblioweave.llm.common import folding, mix, steps, texts, whole, word_hashes
+from biblioweave.llm.common import folding, mix, sized_steps, texts, whole, word_hashes
 from biblioweave.session import materialise
 
 SHINGLE_WORDS = 5
@@ -67,7 +67,7 @@ _STEPS = 8
 NODES_PER_FILE = 50_000
 _TABLE_BITS = 16
 _ID_BITS = 53
-_STEP_DOCS = 128
+_STEP_BYTES = 1 << 18
 
 
 @cache
@@ -229,7 +229,7 @@ def document_frequencies(docs: DataFrame, text: str) -> Weights:
 
     def count(batches):
         total, docs_seen = np.zeros(cells, np.int32), 0
-        for batch in steps(batches, _STEP_DOCS):
+        for batch in sized_steps(batches, 0, _STEP_BYTES):
             found, n = np.unique(_cell(shingles(texts(batch.column(0)))[1], cells), return_counts=True)
             total[found] += n.astype(np.int32)
             docs_seen += batch.num_rows
@@ -267,7 +267,7 @@ def sign(docs: DataFrame, weights: Weights, doc_id="doc_id", text="text") -> Dat
 
     def run(batches):
         sampler = Sampler(weights)
-        for batch in steps(batches, _STEP_DOCS):
+        for batch in sized_steps(batches, 1, _STEP_BYTES):
             some = texts(batch.column(1))
             keys = [hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t in some]
             hashes, mass = sampler.bands(some)
@@ -301,7 +301,7 @@ def _verify(pairs: DataFrame, involved: DataFrame, weights: Weights, threshold:
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "star", "one", "other")
 
     def run(batches):
-        for batch in steps(batches, _STEP_DOCS):
+        for batch in sized_steps(batches, 4, _STEP_BYTES):
             rows = []
             for star, one, other in zip(batch.column(2).to_pylist(), texts(batch.column(3)), texts(batch.column(4))):
                 found = compare(one, other, weights)
@@ -439,9 +439,15 @@ def _beyond_centres(stars: DataFrame, verified: DataFrame, threshold: float, fil
     rows = rows.select("star_id", F.col("e.elements").alias("element"), "key", "far", "excess", F.col("e.reaches").alias("reach"))
     rows = _written(rows, "star-elements", files)
     place = ["star_id", "element"]
-    least = rows.groupBy(*place).agg(F.min("excess").alias("least"), F.min(F.when(F.col("far"), F.col("excess"))).alias("least_far"))
-    can = F.col("excess") + F.when(F.col("far"), F.col("least")).otherwise(F.col("least_far")) <= 2 * F.col("reach") + 1e-6
-    rows = rows.join(least.where("least_far IS NOT NULL"), place).where(can).drop("least", "least_far")
+    # what the other text must at least bring: its excess, and that less twice its reach
+    gap = F.col("excess") - 2 * F.col("reach")
+    kinds = {"": F.lit(True), "_far": F.col("far")}
+    bounds = {f"{name}{kind}": F.min(F.when(of, c)) for kind, of in kinds.items() for name, c in (("least", F.col("excess")), ("gap", gap))}
+    least = rows.groupBy(*place).agg(*[c.alias(name) for name, c in bounds.items()], F.count("*").alias("shared"))
+    other = lambda name: F.when(F.col("far"), F.col(name)).otherwise(F.col(f"{name}_far"))
+    can = (F.col("excess") + other("least") <= 2 * F.col("reach") + 1e-6) & (F.col("excess") + other("gap") <= 1e-6)
+    # an element of one text alone, as most of a far one's are, leads nowhere
+    rows = rows.join(least.where("least_far IS NOT NULL AND shared > 1").drop("shared"), place).where(can).drop(*bounds)
     sizes = rows.groupBy(*place).agg(F.count_if("far").alias("n_far"), F.count("*").alias("n")).where("n_far > 0 AND n > 1")
     rows = _written(rows.join(sizes.drop("n"), place), "star-elements", files)
     few = rows.where(F.col("n_far") <= far_limit)

@@ -458,3 +458,24 @@ def test_language_model_of_messy_rows(messy, nothing):
     none = lm.score(messy, F.lit(False), F.lit(False)).collect()
     assert {r.n_known for r in none} == {0} and {r.score for r in none} == {0.0}
     assert lm.score(nothing, F.lit(True), F.lit(True)).count() == 0
+
+
+def test_star_rows_that_no_far_text_can_meet_go_early(spark, monkeypatch):
+    """A near text whose excess only fits one far text's excess and another's reach has no pair; nor has an element of one text."""
+    written = []
+
+    def keep(df, label, files):
+        written.append((label, df.count()))
+        return df.cache()
+
+    monkeypatch.setattr(neardup, "_written", keep)
+    texts = [("near", 0.9, 3.2, [7], [2.2]), ("far1", 0.5, 1.0, [7], [0.1]), ("far2", 0.5, 5.0, [7, 8], [4.0, 4.0])]
+    stars = spark.createDataFrame([(1, "c", name) for name, *_ in texts], "star_id long, a string, b string")
+    verified = spark.createDataFrame([("c", *t[:2], True, *t[2:]) for t in texts],
+                                     "a string, b string, similarity double, star boolean, excess double, elements array<long>, reaches array<double>")
+    buckets, pairs = neardup._beyond_centres(stars, verified, 0.8, 1, 64)
+    assert written[1] == ("star-elements", 0)
+    assert pairs.count() == buckets.count() == 0
+    more = verified.union(spark.createDataFrame([("c", "near2", 0.9, True, 2.9, [7], [4.0])], verified.schema))
+    stars = stars.union(spark.createDataFrame([(1, "c", "near2")], stars.schema))
+    assert [tuple(r) for r in neardup._beyond_centres(stars, more, 0.8, 1, 64)[1].collect()] == [("far2", "near2")]
