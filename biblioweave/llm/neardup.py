@@ -67,7 +67,7 @@ _STEPS = 8
 NODES_PER_FILE = 50_000
 _TABLE_BITS = 16
 _ID_BITS = 53
-_STEP_BYTES = 1 << 18
+_STEP_DOCS, _STEP_BYTES = 128, 1 << 18
 
 
 @cache
@@ -229,7 +229,7 @@ def document_frequencies(docs: DataFrame, text: str) -> Weights:
 
     def count(batches):
         total, docs_seen = np.zeros(cells, np.int32), 0
-        for batch in sized_steps(batches, 0, _STEP_BYTES):
+        for batch in sized_steps(batches, 0, _STEP_BYTES, _STEP_DOCS):
             found, n = np.unique(_cell(shingles(texts(batch.column(0)))[1], cells), return_counts=True)
             total[found] += n.astype(np.int32)
             docs_seen += batch.num_rows
@@ -267,7 +267,7 @@ def sign(docs: DataFrame, weights: Weights, doc_id="doc_id", text="text") -> Dat
 
     def run(batches):
         sampler = Sampler(weights)
-        for batch in sized_steps(batches, 1, _STEP_BYTES):
+        for batch in sized_steps(batches, 1, _STEP_BYTES, _STEP_DOCS):
             some = texts(batch.column(1))
             keys = [hashlib.md5(t.encode("utf-8", "replace")).hexdigest() for t in some]
             hashes, mass = sampler.bands(some)
@@ -301,7 +301,7 @@ def _verify(pairs: DataFrame, involved: DataFrame, weights: Weights, threshold:
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "star", "one", "other")
 
     def run(batches):
-        for batch in sized_steps(batches, 4, _STEP_BYTES):
+        for batch in sized_steps(batches, 4, _STEP_BYTES, _STEP_DOCS):
             rows = []
             for star, one, other in zip(batch.column(2).to_pylist(), texts(batch.column(3)), texts(batch.column(4))):
                 found = compare(one, other, weights)

@@ -18,6 +18,16 @@ from biblioweave.llm import language, neardup, packing, privacy, quality
 from biblioweave.session import materialise, release_scratch, tune
 
 
+# Rows of an Arrow batch: some 2 MB of text, which a task holds in the JVM and again in Python.
+ROWS_PER_BATCH = 1000
+
+
+def _prepared(spark: SparkSession) -> SparkSession:
+    """Session settings of a stage."""
+    tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    return spark
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go, and documents that fail the rules or lose nearly all of their words."""
     return quality.clean_documents(docs)
@@ -25,12 +35,14 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be determined go."""
+    _prepared(spark)
     release_scratch(spark, ("judged-documents",))  # the stage before is written
     return language.keep_identified(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays."""
+    _prepared(spark)
     return neardup.keep_one(docs)
 
 
@@ -42,6 +54,7 @@ def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences: where they lie, and a checksum of their ids."""
+    _prepared(spark)
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 

@@ -324,3 +324,29 @@ def test_language_steps_take_bounded_memory():
     grams, n = language._counted(language.grams([d or "" for d in docs])[1])
     assert counted == dict(zip(grams.tolist(), n.tolist()))
     assert peak < 100e6
+
+
+def test_steps_are_cut_by_rows_and_by_bytes():
+    import pyarrow as pa
+
+    from biblioweave.llm.common import sized_steps
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["x" * 10] * 300 + ["y" * 900, None] * 3)], ["text"])
+    found = list(sized_steps([batch], 0, 1000, 128))
+    assert max(b.num_rows for b in found) <= 128
+    assert pa.concat_arrays([b.column(0) for b in found]).equals(batch.column(0))
+    assert max(sum(len(x or "") for x in b.column(0).to_pylist()) for b in found) <= 1900
+
+
+def test_pipeline_stages_ask_for_small_batches(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for _, stage in corpus_pipeline.STAGES[1:3]:
+            spark.conf.set(key, "10000")
+            stage(spark, spark.createDataFrame([], "doc_id long, text string, lang string, source string"), "")
+            assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
