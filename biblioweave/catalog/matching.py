@@ -77,8 +77,8 @@ def token_stats(t: Tables):
 @query("X6_bm25", f"WITH {DOC_SCORES_SQL} SELECT item_id, doc_id, score FROM score")
 def bm25(t: Tables):
     index = doc_index(t, collapse=False)
-    terms = S.weighted_terms(S.request_tokens(passages(t), S.BIBLIO_FIELD), index)
-    return S.bm25(terms, index).select(
+    terms = materialise(S.weighted_terms(S.request_tokens(passages(t), S.BIBLIO_FIELD), index), "request-terms")
+    return S.all_scores(terms, index, ["bibliographic"]).select(
         F.col("req_id").alias("item_id"), F.col("id").alias("doc_id"),
         F.round("score", 6).alias("score"),
     )

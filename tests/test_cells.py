@@ -83,3 +83,26 @@ def test_few_records_of_a_cell_are_scored_in_full(monkeypatch):
         assert [g[0] for g in got] == want
         assert np.allclose([g[1] for g in got], every[want])
     assert np.mean(scored) < 100
+
+
+def test_all_scores_in_cells_are_those_of_the_plain_join(spark, many_cells, monkeypatch):
+    monkeypatch.setattr(cells, "CELL_PAIRS", 500)
+    records = titles(spark)
+    fields = {f: (f, search.FIELD_ANALYZERS[f]) for f in ("title", "first_author")}
+    index = search.build_index(records, fields, collapse=False)
+    requests = records.select(F.concat(F.lit("r"), "id").alias("req_id"), "title", "first_author").limit(60)
+    terms = search.weighted_terms(search.request_tokens(requests, fields), index).localCheckpoint()
+    scores = lambda df: sorted((r.req_id, r.id, round(r.score, 9)) for r in df.collect())
+    found = scores(search.all_scores(terms, index, sorted(fields)))
+    assert found == scores(search.bm25(terms, index)) and len(found) > 1_000
+    assert cells.smaller(1, 1, 100, 10_000, 50, 400) == (1, 64)
+
+
+def test_the_query_of_all_scores_moves_no_pairs(spark, monkeypatch):
+    from biblioweave.catalog import Tables, matching
+
+    def refuse(*_):
+        raise AssertionError("tokens were joined with postings")
+
+    monkeypatch.setattr(search, "bm25", refuse)
+    assert matching.bm25(Tables(spark, "/root/testdata/sf0.001")).count() > 0
