@@ -1,6 +1,7 @@
 """A search index kept current by batches of changes.
 
-Each batch adds a folder to five tables below a root: ``postings`` of its records,
+Each batch adds a folder to five tables below a root: ``postings`` of its records (packed,
+one row for each record and field, so they are moved whole, not token by token),
 ``versions`` (their ids), ``gone`` (the versions of records that it replaces or
 deletes: a delete vector), ``stats`` (how document frequencies change) and ``sizes``
 (how numbers and lengths of records change).  Nothing that was written is touched;
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from biblioweave.operators.search import HOT_SHARE, Index, build_postings
+from biblioweave.operators.search import HOT_SHARE, Index, pack_postings, unpack_postings
 from biblioweave.session import materialise
 from biblioweave.streaming.updates import _partitions
 
@@ -54,21 +55,21 @@ def apply_changes(
     A record that is both given and deleted is deleted first, so it stays.
     """
     spark = records.sparkSession
-    fresh = materialise(build_postings(records, fields, id=id, carry=carry), "fresh-postings")
+    fresh = materialise(pack_postings(records, fields, id=id, carry=carry), "fresh-postings")
     ids = records.select(F.col(id).alias("id")).distinct()
     touched = ids if deleted is None else ids.union(deleted.select(F.col(id).alias("id"))).distinct()
     earlier = batches(spark, root, batch)
-    changed = fresh.select("field", "token", "id", "tf", "doc_len", "place", F.lit(1).alias("sign"))
+    changed = fresh.select("field", "tokens", "doc_len", F.lit(1).alias("sign"))
     gone = spark.createDataFrame([], f"id {dict(ids.dtypes)['id']}, version long")
     if earlier:
         gone = materialise(
             _live(spark, root, "versions", earlier).join(touched, "id", "left_semi").select("id", F.col("batch").alias("version")), "gone-versions"
         )
         old = _read(spark, root, "postings", earlier).join(gone.withColumnRenamed("version", "batch"), ["id", "batch"], "left_semi")
-        changed = changed.union(old.select("field", "token", "id", "tf", "doc_len", "place", F.lit(-1).alias("sign")))
-    stats = changed.groupBy("field", "token").agg(F.sum("sign").alias("df")).where("df <> 0")
-    first = F.when(F.col("place") == 0, F.col("sign"))
-    sizes = changed.groupBy("field").agg(F.sum(first).alias("docs"), F.sum(first * F.col("doc_len")).alias("length"))
+        changed = changed.union(old.select("field", "tokens", "doc_len", F.lit(-1).alias("sign")))
+    each = changed.select("field", "sign", F.explode("tokens").alias("token"))
+    stats = each.groupBy("field", "token").agg(F.sum("sign").alias("df")).where("df <> 0")
+    sizes = changed.groupBy("field").agg(F.sum("sign").alias("docs"), F.sum(F.col("sign") * F.col("doc_len")).alias("length"))
     for table, rows in zip(TABLES, (fresh, ids, gone, stats, sizes)):
         rows.write.mode("overwrite").parquet(f"{root}/{table}/batch={batch}")
 
@@ -90,8 +91,10 @@ def current_index(spark: SparkSession, root: str) -> Index:
         "field", "token", "df", idf.alias("idf"), idf.alias("bound"),
         F.ceil(F.col("df") * HOT_SHARE / F.col("n_postings")).cast("int").alias("salts"),
     )
-    live = _live(spark, root, "postings", numbers).drop("batch").withColumn("copies", F.lit(1).cast("long"))
-    return Index(live, materialise(token_stats, "token-stats"), field_stats)
+    packed = _live(spark, root, "postings", numbers).drop("batch").withColumn("copies", F.lit(1).cast("long"))
+    carry = tuple(c for c in packed.columns if c not in ("id", "field", "doc_len", "tokens", "tfs"))
+    stats = materialise(token_stats, "token-stats")
+    return Index(unpack_postings(packed, *carry), stats, field_stats, packed=packed, carry=carry)
 
 
 def compact_index(spark: SparkSession, root: str, target: str) -> None:

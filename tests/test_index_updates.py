@@ -70,3 +70,17 @@ def test_everything_can_be_deleted(spark, tmp_path):
     requests = spark.createDataFrame([(1, "x y")], "req_id int, biblio string")
     assert top(requests, log.current_index(spark, str(tmp_path / "log"))) == []
     assert log.current_index(spark, str(tmp_path / "log")).token_stats.where(F.col("df") > 0).count() == 0
+
+
+def test_postings_of_a_record_are_one_row_and_matched_in_cells(spark, tmp_path, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("tokens were joined with postings")
+
+    monkeypatch.setattr(search, "bm25", refuse)
+    root = str(tmp_path / "log")
+    df = spark.createDataFrame([("a", "x y z x"), ("b", "y"), ("c", " ")], "id string, text string")
+    log.apply_changes(df, 0, root, FIELDS)
+    log.apply_changes(df.where("id = 'b'").withColumn("text", F.lit("z q")), 1, root, FIELDS)
+    assert sorted(r.id for r in spark.read.parquet(f"{root}/postings").collect()) == ["a", "b", "b"]
+    requests = spark.createDataFrame([(1, "y"), (2, "q")], "req_id int, biblio string")
+    assert [r[:2] for r in top(requests, log.current_index(spark, root))] == [(1, "a"), (2, "b")]
