@@ -30,6 +30,8 @@ WINDOW, STRIDE = 32, 16
 WORD_SIZE, CHAR_SIZE, HIDDEN = 8, 8, 8
 GRAMS = 1 << 14
 CLEAR = 2.6
+# Characters of the sample that are numbers at a time: some 50 MB.
+CHARS_PER_STEP = 1 << 18
 _POWERS = np.cumprod(np.full(64, 6364136223846793005, np.uint64), dtype=np.uint64)
 
 
@@ -250,7 +252,7 @@ class Network:
                     first[k] += 0.1 * (grad - first[k])
                     second[k] += 0.001 * (grad * grad - second[k])
                     self.p[k] -= rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-        logits = np.concatenate([self.worst(docs[i : i + 64])[0] for i in range(0, len(docs), 64)])
+        logits = np.concatenate([self.worst(docs[start:end])[0] for start, end in _parts(docs, 64)])
         self.shift = _best_cut(logits, labels)
 
 
@@ -264,15 +266,53 @@ def _best_cut(logits: np.ndarray, labels: np.ndarray) -> float:
     return float((logits[order[at]] + low) / 2)
 
 
-def _odds(items: np.ndarray, owners: np.ndarray, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct items, how many documents have each, and the log odds that such a document is marked,
+def _odds(counts: np.ndarray, bad: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Log odds that a document with an item is marked, from how many documents and marked ones have it;
     0 where they are less than CLEAR times their standard error."""
-    pairs = np.unique(np.stack([items.astype(np.uint64), owners.astype(np.uint64)], axis=1), axis=0)
-    distinct, starts, counts = np.unique(pairs[:, 0], return_index=True, return_counts=True)
-    bad = np.add.reduceat(marks[pairs[:, 1].astype(np.int64)], starts) if len(starts) else np.zeros(0)
+    bad = bad.astype(marks.dtype)
     odds = np.log((bad + 0.5) / (marks.sum() + 1)) - np.log((counts - bad + 0.5) / ((1 - marks).sum() + 1))
     clear = np.abs(odds) > CLEAR * np.sqrt(1 / (bad + 0.5) + 1 / (counts - bad + 0.5))
-    return distinct, counts, np.where((counts >= 3) & clear, odds, 0)
+    return np.where((counts >= 3) & clear, odds, 0)
+
+
+def _parts(docs: list[str], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most so many texts and about CHARS_PER_STEP characters; a longer text is a range of its own."""
+    start = size = 0
+    for k, text in enumerate(docs):
+        if k > start and (k - start == most or size + len(text) > CHARS_PER_STEP):
+            yield start, k
+            start, size = k, 0
+        size += len(text)
+    if docs:
+        yield start, len(docs)
+
+
+def _counted(docs: list[str], marks: np.ndarray):
+    """Distinct word hashes with how many documents and marked documents have each, and these two numbers of
+    each character group.  A few texts at a time, as the numbers of whole texts' characters are many times the texts."""
+    found, gram_counts, gram_bad = [], np.zeros(GRAMS, np.int64), np.zeros(GRAMS, np.int64)
+    for start, end in _parts(docs, len(docs)):
+        words, marked = Words(docs[start:end]), marks[start:end] > 0
+        pairs = np.unique(np.stack([words.hashes, words.owner.astype(np.uint64)], axis=1), axis=0)
+        found.append(_added(pairs[:, 0], np.ones(len(pairs), np.int64), marked[pairs[:, 1].astype(np.int64)].astype(np.int64)))
+        if len(found) > 8:
+            found = [_added(*map(np.concatenate, zip(*found)))]
+        of_char = np.repeat(words.owner, words.lengths)
+        # each group once per document and as one number
+        groups = np.unique(words.grams * (end - start) + of_char)
+        gram, owner = groups // (end - start), groups % (end - start)
+        gram_counts += np.bincount(gram, minlength=GRAMS)
+        gram_bad += np.bincount(gram[marked[owner]], minlength=GRAMS)
+    return _added(*map(np.concatenate, zip(*found))), (gram_counts, gram_bad)
+
+
+def _added(items: np.ndarray, counts: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct items in order, and the sums of their numbers."""
+    if not len(items):
+        return items, counts, bad
+    order = np.argsort(items, kind="stable")
+    distinct, starts = np.unique(items[order], return_index=True)
+    return distinct, np.add.reduceat(counts[order], starts), np.add.reduceat(bad[order], starts)
 
 
 def train(docs: list[str], labels: list[int], sample: Sample = Sample()) -> Network | None:
@@ -280,18 +320,12 @@ def train(docs: list[str], labels: list[int], sample: Sample = Sample()) -> Netw
     marks = np.array(labels, np.float32)
     if not len(marks) or marks.min() == marks.max():
         return None
-    words = Words(docs)
-    hashes, counts, odds = _odds(words.hashes, words.owner, marks)
+    (hashes, counts, bad), (gram_counts, gram_bad) = _counted(docs, marks)
+    odds = _odds(counts, bad, marks)
     often = np.flatnonzero((odds != 0) | (counts >= sample.word_share * len(docs)) & (counts >= 3))
     often = often[np.lexsort((hashes[often], -counts[often]))][: sample.words]
     vocabulary, odds = hashes[often], odds[often].astype(np.float32)
-    of_char = np.repeat(words.owner, words.lengths)
-    # each group once per document and as one number, which bounds the driver's memory
-    pairs = np.unique(np.concatenate([np.unique(row * len(docs) + of_char) for row in words.grams]))
-    del words, of_char
-    grams, counts, of_gram = _odds(pairs // len(docs), pairs % len(docs), marks)
-    gram_odds = np.zeros(GRAMS, np.float32)
-    gram_odds[grams] = of_gram
+    gram_odds = _odds(gram_counts, gram_bad, marks).astype(np.float32)
     network = Network(vocabulary, odds, gram_odds)
 
     def odds_of(some: Words):

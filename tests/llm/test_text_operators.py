@@ -4,6 +4,7 @@ import html as references
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from array import array
 from collections import Counter, defaultdict
@@ -227,6 +228,21 @@ def test_toxicity_learns(spark, messy, nothing):
     assert {r.score for r in toxicity.score(messy, None).collect()} == {0.0}
 
 
+def test_toxicity_training_holds_few_characters_at_a_time(monkeypatch):
+    rng = np.random.default_rng(1)
+    names = np.array(["".join(chr(97 + c) for c in rng.integers(0, 26, 6)) for _ in range(5000)])
+    docs = [" ".join(rng.choice(names, 170)) + (" vile" if i % 2 else "") for i in range(2000)]
+    marks = [i % 2 for i in range(2000)]
+    tracemalloc.start()
+    network = toxicity.train(docs, marks, toxicity.Sample(epochs=0))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6  # 2.4 million characters: over 250 MB when all are numbers at once
+    monkeypatch.setattr(toxicity, "CHARS_PER_STEP", 50_000_000)
+    whole = toxicity.train(docs, marks, toxicity.Sample(epochs=0))
+    assert all(np.array_equal(network.p[k], whole.p[k]) for k in whole.p) and np.isclose(network.shift, whole.shift)
+
+
 def test_toxicity_sample_is_bounded(spark):
     docs = spark.createDataFrame([(i, f"text {i}") for i in range(20)] + [(None, "x"), (3, "text 3")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(None, 1), (5, None)], "doc_id long, toxic int")
