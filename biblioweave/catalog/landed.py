@@ -27,6 +27,14 @@ def _text(*parts: str | Column) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a file that may be one row group, dealt to some tasks for each core before each is parsed.
+
+    The number is given, as adaptive execution would put small rows into few tasks.
+    """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def _landed(df: DataFrame, label: str, **options) -> str:
     path = scratch_path(df.sparkSession, label)
     df.write.options(**options).text(path)
@@ -162,7 +170,7 @@ def parse_hal_tei(t: Tables):
     key = S("p_partkey")
     tei = _tei(_text("hal-", key), _text("10.2/P", key), _text("On <hi>", F.col("p_brand"), "</hi>"), F.col("p_type"), S("p_size"),
                _text((1950 + F.col("p_size")).cast("string"), "-04"))
-    return _hal(xml.parse_hal_tei(t.part.select(tei.alias("tei")), "tei"))
+    return _hal(xml.parse_hal_tei(_dealt(t.part, "p_partkey").select(tei.alias("tei")), "tei"))
 
 
 @query(
@@ -181,7 +189,7 @@ def parse_citation_tei(t: Tables):
     monograph = F.when(F.col("c_acctbal") > 0, "").otherwise(name("M"))
     tei = _text("<biblStruct>", own, "<monogr>", monograph, '<title level="j">J', S("c_nationkey"), '</title><imprint><date when="',
                 (1950 + F.col("c_nationkey")).cast("string"), '-05" /></imprint></monogr></biblStruct>')
-    rows = xml.parse_citation_tei(t.customer.select("c_custkey", tei.alias("tei")), "tei")
+    rows = xml.parse_citation_tei(_dealt(t.customer, "c_custkey").select("c_custkey", tei.alias("tei")), "tei")
     return rows.select("c_custkey", F.col("parsed_atitle").alias("title"), F.col("parsed_first_author").alias("author"),
                        F.col("parsed_monograph_author").alias("monograph_author"), F.col("parsed_jtitle").alias("journal"),
                        F.col("parsed_year").alias("year"))
