@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from biblioweave.functions.text import bind
+
 PARTIAL_DATE = "struct<year:int,month:int,day:int>"
 
 # English month abbreviations in calendar order.
@@ -35,15 +37,21 @@ def clip_day(day: Column, month: Column) -> Column:
 
 def partial_date(year: Column, month: Column | None = None, day: Column | None = None) -> Column:
     """Partial date from text parts; null when there is no valid year."""
-    y = _int(year)
-    m = month_number(month) if month is not None else F.lit(None).cast("int")
-    d = _int(day) if day is not None else F.lit(None).cast("int")
-    return F.when(
-        y.isNotNull(),
-        F.struct(
-            y.alias("year"),
-            m.alias("month"),
-            F.when(m.isNotNull(), clip_day(d, m)).alias("day"),
+    parts = F.struct(
+        _int(year).alias("y"),
+        (month_number(month) if month is not None else F.lit(None).cast("int")).alias("m"),
+        (_int(day) if day is not None else F.lit(None).cast("int")).alias("d"),
+    )
+    # numbers are read once: repeated for each use, they make code too long to be compiled
+    return bind(
+        parts,
+        lambda p: F.when(
+            p["y"].isNotNull(),
+            F.struct(
+                p["y"].alias("year"),
+                p["m"].alias("month"),
+                F.when(p["m"].isNotNull(), clip_day(p["d"], p["m"])).alias("day"),
+            ),
         ),
     )
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from biblioweave.functions.text import not_blank
+from biblioweave.functions.text import bind, not_blank
 
 # Characters after which a name part starts with a capital.
 NAME_DELIMITERS = ".,;:- "
@@ -88,16 +88,23 @@ def _empty_person(person: Column) -> Column:
 
 def dedupe_authors(persons: Column) -> Column:
     """Authors in order without repeats of the first or of an earlier co-author."""
-    first = F.get(persons, F.lit(0))
-    rest = F.filter(
-        F.slice(persons, F.lit(2), F.greatest(F.size(persons), F.lit(1))),
-        lambda p: ~_empty_person(p) & ~_same_person(p, first),
-    )
-    kept = F.aggregate(
-        rest,
-        F.slice(persons, F.lit(1), F.lit(0)),
-        lambda acc, p: F.when(F.exists(acc, lambda k: _same_person(k, p)), acc).otherwise(
-            F.concat(acc, F.array(p))
-        ),
+
+    def dedupe(all_: Column, first: Column) -> Column:
+        rest = F.filter(
+            F.slice(all_, F.lit(2), F.size(all_)),
+            lambda p: ~_empty_person(p) & ~_same_person(p, first),
+        )
+        kept = F.aggregate(
+            rest,
+            F.slice(all_, F.lit(1), F.lit(0)),
+            lambda acc, p: F.when(F.exists(acc, lambda k: _same_person(k, p)), acc).otherwise(
+                F.concat(acc, F.array(p))
+            ),
+        )
+        return F.concat(F.array(first), kept)
+
+    # the list and its first author are made once, not again for every author
+    return bind(
+        persons,
+        lambda all_: F.when(F.size(all_) > 1, bind(F.get(all_, F.lit(0)), lambda first: dedupe(all_, first))).otherwise(all_),
     )
-    return F.when(F.size(persons) > 0, F.concat(F.array(first), kept)).otherwise(persons)

@@ -16,7 +16,7 @@ from biblioweave.functions.mesh import MESH_CLASS, mesh_chemical, mesh_struct
 from biblioweave.functions.pages import expand_page_range
 from biblioweave.functions.people import dedupe_authors
 from biblioweave.functions.text import (
-    clean_reference_string, not_blank, null_if_blank, strip_markup,
+    bind, clean_reference_string, not_blank, null_if_blank, strip_markup,
 )
 from biblioweave.schemas import BIBLIO
 from biblioweave.sources.works import line_place, place_of
@@ -215,7 +215,7 @@ def read_medline(spark: SparkSession, path: str) -> DataFrame:
                 _date_of(_last(article["ArticleDate"])),
                 _date_of(journal["JournalIssue"]["PubDate"]),
             ),
-            "article_title": null_if_blank(strip_markup(article["ArticleTitle"])),
+            "article_title": bind(strip_markup(article["ArticleTitle"]), null_if_blank),
             "title": null_if_blank(journal["Title"]),
             "journal_abbrev": null_if_blank(journal["ISOAbbreviation"]),
             "volume": null_if_blank(journal["JournalIssue"]["Volume"]),
@@ -227,7 +227,7 @@ def read_medline(spark: SparkSession, path: str) -> DataFrame:
             "raw_pages": pages["raw"],
             "issn": issn("Print"),
             "eissn": issn("Electronic"),
-            "abstract": null_if_blank(abstract),
+            "abstract": bind(abstract, null_if_blank),
             "language": lang3_to_lang2(_last(language)),
             "raw_language": F.when(
                 lang3_to_lang2(_last(language)).isNull(), _last(language)
