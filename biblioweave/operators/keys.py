@@ -45,11 +45,17 @@ def left_lookup(
     """
     filler = F.concat(F.lit("\u0000"), F.xxhash64(spread_by).cast("string"))
     keyed = df.withColumn("_key", F.coalesce(key.cast("string"), filler))
+    # a string key asked for as a column is moved once
+    own = [c for c in columns if c == table_key and table.schema[c].dataType.typeName() == "string"]
     side = table.select(
         F.col(table_key).cast("string").alias("_table_key"),
-        *[F.col(c).alias(name) for c, name in columns.items()],
+        *[F.col(c).alias(name) for c, name in columns.items() if c not in own],
+    )
+    joined = keyed.join(side, keyed["_key"] == side["_table_key"], "left")
+    return joined.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[F.col("_table_key" if c in own else name).alias(name) for c, name in columns.items()],
     )
-    return keyed.join(side, keyed["_key"] == side["_table_key"], "left").drop("_key", "_table_key")
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:

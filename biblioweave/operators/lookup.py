@@ -39,10 +39,9 @@ def lookup_by_doi(
 ) -> DataFrame:
     """Record per request by DOI, with ``record_doi``, ``status`` and ``reason``."""
     key = normalise_doi(F.col(doi) if isinstance(doi, str) else doi)
-    table = works.select("doi", *columns).withColumn("record_doi", F.col("doi"))
     out = left_lookup(
-        requests, key, table, "doi",
-        {"record_doi": "record_doi", **{c: c for c in columns}}, spread_by=req_id,
+        requests, key, works, "doi",
+        {"doi": "record_doi", **{c: c for c in columns}}, spread_by=req_id,
     )
     return _outcome(
         out, F.col("record_doi").isNotNull(), F.lit(NO_RECORD) if reason is None else reason
@@ -69,17 +68,20 @@ def lookup_by_halid(
 
 def _via_map(
     requests: DataFrame, key: Column, table: DataFrame, table_key: str, doi: str,
-    works: DataFrame, unmapped: Column, columns: tuple[str, ...], req_id: str,
+    works: DataFrame, message: str, asked: str, columns: tuple[str, ...], req_id: str,
     also: dict[str, str] | None = None,
 ) -> DataFrame:
     mapped = left_lookup(
         requests, key, table, table_key, {doi: "mapped_doi", **(also or {})}, spread_by=req_id
     )
     mapped = mapped.withColumn("mapped_doi", null_if_blank(F.col("mapped_doi")))
-    reason = F.when(F.col("mapped_doi").isNull(), unmapped).otherwise(F.lit(NO_RECORD))
+    # only what an unmapped request needs for its reason goes through the second join
+    missed = F.col("mapped_doi").isNull()
+    mapped = mapped.withColumns({"_missed": missed, "_asked": F.when(missed, F.col(asked))})
+    reason = F.when(F.col("_missed"), F.concat(F.lit(message), F.col("_asked"))).otherwise(F.lit(NO_RECORD))
     return lookup_by_doi(
         mapped, works, doi="mapped_doi", reason=reason, columns=columns, req_id=req_id
-    )
+    ).drop("_missed", "_asked")
 
 
 def lookup_by_pmid(
@@ -87,9 +89,9 @@ def lookup_by_pmid(
     columns: tuple[str, ...] = ("json",), req_id: str = "req_id",
 ) -> DataFrame:
     """PMID to DOI to record."""
-    reason = F.concat(F.lit("Cannot find bibliographical record with PMID "), F.col(pmid))
+    message = "Cannot find bibliographical record with PMID "
     return _via_map(
-        requests, null_if_blank(F.col(pmid)), by_pmid, "pmid", "doi", works, reason, columns, req_id
+        requests, null_if_blank(F.col(pmid)), by_pmid, "pmid", "doi", works, message, pmid, columns, req_id
     )
 
 
@@ -98,10 +100,10 @@ def lookup_by_pmc(
     columns: tuple[str, ...] = ("json",), req_id: str = "req_id",
 ) -> DataFrame:
     """PMC id, with or without prefix, to DOI to record."""
-    reason = F.concat(F.lit("Cannot find bibliographical record with PMC ID "), F.col(pmc))
+    message = "Cannot find bibliographical record with PMC ID "
     return _via_map(
         requests, normalise_pmc(null_if_blank(F.col(pmc))), by_pmc, "pmcid", "doi", works,
-        reason, columns, req_id,
+        message, pmc, columns, req_id,
     )
 
 
@@ -114,10 +116,10 @@ def lookup_by_pii(
     columns: tuple[str, ...] = ("json",), req_id: str = "req_id",
 ) -> DataFrame:
     """Publisher item id to the archive row's first DOI to record."""
-    reason = F.concat(F.lit("Cannot find bibliographical record by PII "), F.col(pii))
+    message = "Cannot find bibliographical record by PII "
     return _via_map(
         requests, normalise_key(F.col(pii)), _first_doi(by_pii), "key", "first_doi", works,
-        reason, columns, req_id, {"istex_id": "archive_id"},
+        message, pii, columns, req_id, {"istex_id": "archive_id"},
     )
 
 
@@ -126,10 +128,10 @@ def lookup_by_istexid(
     columns: tuple[str, ...] = ("json",), req_id: str = "req_id",
 ) -> DataFrame:
     """Archive id to the row's first DOI to record."""
-    reason = F.concat(F.lit("Cannot find bibliographical record by ISTEX ID "), F.col(istexid))
+    message = "Cannot find bibliographical record by ISTEX ID "
     return _via_map(
         requests, null_if_blank(F.col(istexid)), _first_doi(by_istex), "key", "first_doi", works,
-        reason, columns, req_id, {"istex_id": "archive_id"},
+        message, istexid, columns, req_id, {"istex_id": "archive_id"},
     )
 
 
